@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import re
 from array import array
+from collections import defaultdict
 
 import ahocorasick
 import numpy as np
@@ -34,10 +35,20 @@ class _Labels(dict):
         return chr(-1 - label)
 
 
+class _Any(dict):
+    """Before the first label, and after a character that is no piece, anything may follow."""
+
+    def get(self, label: int, default=None) -> bool:
+        return True
+
+
+ANY = _Any()
+
+
 class PieceTransducer:
-    """Compiled from the file of a piece model.  ``cache`` bounds the number of remembered stretches and words (of each, twice as many at most) and of remembered pairs (five times)."""
+    """Compiled from the file of a piece model.  ``cache`` bounds the number of remembered stretches and words (of each, twice as many at most) and of remembered pairs (twice as many)."""
 
-    def __init__(self, path: str, cache: int = 200_000):
+    def __init__(self, path: str, cache: int = 400_000):
         from sentencepiece import sentencepiece_model_pb2 as pb
 
         proto = pb.ModelProto()
@@ -58,7 +69,8 @@ class PieceTransducer:
         self.fallback = len(self.bytes_at) == 256
         self.spelled = [p.piece.replace(SPACE, " ").encode() if p.type == NORMAL else bytes([int(p.piece[3:5], 16)]) if p.type == BYTE else " ⁇ ".encode() if p.type == UNKNOWN else b"" for p in proto.pieces]
         self.least = min(self.scores.values(), default=0.0) - 10.0
-        self.cache, self.young, self.old, self.words, self.old_words, self.pairs = cache, {}, {}, {}, {}, {}
+        self.cache, self.young, self.old, self.words, self.old_words, self.pairs, self.n_pairs = cache, {}, {}, {}, {}, defaultdict(dict), 0
+        self.sizes = [len(p.piece) for p in proto.pieces]
         self.labels = _Labels({i: p for p, i in self.ids.items()})
         self.whole = {p for p in self.ids if not self.bpe or self._merged(p) == [p]}
         self.arcs = ahocorasick.Automaton()
@@ -93,10 +105,11 @@ class PieceTransducer:
 
     def _stable(self, a: int, b: int) -> bool:
         """Whether label a before label b is the encoding of both."""
-        if len(self.pairs) >= 5 * self.cache:
-            self.pairs.clear()
+        if self.n_pairs >= 2 * self.cache:
+            self.pairs, self.n_pairs = defaultdict(dict), 0
         x, y = self.labels[a], self.labels[b]
-        known = self.pairs[a << 20 | b] = x + y not in self.whole and self._merged(x + y) == [x, y]
+        known = self.pairs[a][b] = x + y not in self.whole and self._merged(x + y) == [x, y]
+        self.n_pairs += 1
         return known
 
     def _tokens(self, label: int) -> list[int]:
@@ -105,52 +118,65 @@ class PieceTransducer:
             return [label]
         return [self.bytes_at[b] for b in self.labels[label].encode("utf-8", "replace")] if self.fallback else [self.unknown]
 
-    def _lattice(self, text: str) -> tuple[list, list]:
-        """Distance and last label of every position's best state; for merge models, distance is the token count of the prefix.
+    def _states(self, text: str) -> list[int]:
+        """The last label of every position's one reachable state, for merge models.
 
-        Labels are piece ids, or -1 - code point for a single character that is no piece.
+        Labels are piece ids, or -1 - code point for a single character that is no piece.  Arcs come by their end, longest first, so
+        positions get their states in order; ``after`` holds what is known of the labels that may follow each.
         """
-        n, bpe, scores, known = len(text), self.bpe, self.scores, self.pairs
-        dist: list = [0] + [None] * n
-        last: list = [-1] * (n + 1)
-        done = 0  # positions up to here have their state; arcs come by end, longest first
+        last, after, done, stable = [-1], [ANY], 0, self._stable
         for end, (label, size) in self.arcs.iter(text):
-            j = end + 1
-            if bpe and j == done:
+            if end < done:
                 continue
             while done < end:
                 done += 1
-                if dist[done] is None:
-                    self._alone(text, done, dist, last)
-            i = j - size
-            if bpe:
-                a = last[i]
-                ok = a < 0 or known.get(a << 20 | label)
-                if ok or ok is None and self._stable(a, label):
-                    dist[j], last[j], done = dist[i] + 1, label, j
-            else:
-                w = dist[i] - scores[self.labels[label]]
-                if dist[j] is None or w < dist[j]:
-                    dist[j], last[j] = w, label
-        while done < n:
-            done += 1
-            if dist[done] is None:
-                self._alone(text, done, dist, last)
-        return dist, last
+                last.append(-1 - ord(text[done - 1]))
+                after.append(ANY)
+            ok = after[end + 1 - size].get(label)
+            if ok or ok is None and stable(last[end + 1 - size], label):
+                done = end + 1
+                last.append(label)
+                after.append(self.pairs[label])
+        for c in text[done:]:
+            last.append(-1 - ord(c))
+        return last
 
-    def _alone(self, text: str, j: int, dist: list, last: list) -> None:
-        """The arc of a character that is no piece."""
-        label = -1 - ord(text[j - 1])
-        dist[j], last[j] = dist[j - 1] + (len(self._tokens(label)) if self.bpe else -self.least), label
+    def _lattice(self, text: str) -> tuple[list, list]:
+        """Distance and last label of every position's best state; for merge models, distance is the token count of the prefix."""
+        dist: list = [0]
+        if self.bpe:
+            last = self._states(text)
+            for j in range(1, len(last)):
+                label = last[j]
+                dist.append(dist[j - len(self.labels[label])] + (1 if label >= 0 else len(self._tokens(label))))
+            return dist, last
+        n, scores = len(text), self.scores
+        dist += [None] * n
+        last, done = [-1] * (n + 1), 0
+        for end, (label, size) in [*self.arcs.iter(text), (n, (None, 0))]:
+            while done < end:
+                done += 1
+                if dist[done] is None:  # a character that is no piece
+                    dist[done], last[done] = dist[done - 1] - self.least, -1 - ord(text[done - 1])
+            if label is not None:
+                w = dist[end + 1 - size] - scores[self.labels[label]]
+                if dist[end + 1] is None or w < dist[end + 1]:
+                    dist[end + 1], last[end + 1] = w, label
+        return dist, last
 
     def _path(self, text: str) -> list[int]:
-        dist, last = self._lattice(text)
-        out, j = [], len(text)
+        last = self._states(text) if self.bpe else self._lattice(text)[1]
+        out, j, size = [], len(text), self.sizes
         while j:
             label = last[j]
-            out.append(label)
-            j -= len(self.labels[label])
-        return [t for label in reversed(out) for t in self._tokens(label)]
+            if label >= 0:
+                out.append(label)
+                j -= size[label]
+            else:
+                out += reversed(self._tokens(label))
+                j -= 1
+        out.reverse()
+        return out
 
     def _ids_of(self, stretch: str) -> bytes:
         return array("i", self._path(stretch.replace(" ", SPACE))).tobytes()
