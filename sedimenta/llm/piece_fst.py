@@ -200,11 +200,15 @@ class PieceTransducer:
         """Parts that no piece spans: their encodings are independent."""
         return self.stretch.findall((self.prefix + text).replace(SPACE, " ")) if text else []
 
+    def _worded(self, text: str) -> bool:
+        """Whether a text can be cut at its spaces: there are no runs of spaces."""
+        return self.by_space and bool(text) and "  " not in text and SPACE not in text and text[0] != " "
+
     def _parts(self, text: str) -> list[bytes]:
         """The packed ids of all parts of a text.  Texts without runs of spaces are cut at their spaces, which is faster."""
         if not text:
             return []
-        if self.by_space and "  " not in text and SPACE not in text and text[0] != " ":
+        if self._worded(text):
             get, packed = self.words.get, self._packed
             return [get(w) or packed(w, True) for w in text.split(" ")]
         get, packed = self.young.get, self._packed
@@ -241,17 +245,23 @@ class PieceTransducer:
     def longest_prefix(self, text: str, budget: int) -> int:
         """The most characters k such that text[:k] has at most ``budget`` tokens, and so has every shorter prefix.
 
-        Whole stretches are added from their remembered counts; only those in which the budget can end are looked at by character.
+        Parts are added from their remembered counts; only those in which the budget can end are looked at by character.
         """
-        base, at = 0, 0
-        for k, s in enumerate(self._stretches(text)):
+        base, at, worded = 0, 0, self._worded(text)
+        for k, s in enumerate(text.split(" ") if worded else self._stretches(text)):
             lead = int(k == 0 and bool(self.prefix))
-            if base + len(s.encode()) > budget:  # a prefix of the stretch may have more tokens than the whole
-                for d in self._lattice(s.replace(" ", SPACE))[0][1 + lead :]:
-                    if base + d > budget:
-                        return at
-                    at += 1
+            known = (self.words if worded else self.young).get(s) or self._packed(s, worded)
+            s = " " + s if worded else s
+            if base + len(s.encode("utf-8", "replace")) > budget:  # a prefix of the part may have more tokens than the whole
+                inner = base
+                for part in self.stretch.findall(s) if worded else [s]:
+                    dist = self._lattice(part.replace(" ", SPACE))[0]
+                    for d in dist[1 + lead :]:
+                        if inner + d > budget:
+                            return at
+                        at += 1
+                    inner, lead = inner + dist[-1], 0
             else:
                 at += len(s) - lead
-            base += len(self.young.get(s) or self._packed(s, False)) // 4
+            base += len(known) // 4
         return at
