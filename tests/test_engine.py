@@ -118,7 +118,7 @@ def test_run_writes_all_tables(spark, image, tmp_path):
 
 
 def test_text_sinks(spark, tmp_path):
-    df = sinks.with_provenance(spark.createDataFrame([("a", None, ["x", "y"])], "p string, q string, errors array<string>"), "c")
+    df = sinks.with_provenance(spark.createDataFrame([("a", None, ["x", "y"])], "p string, q string, errors array<string>").coalesce(1), "c")
     for kind in ("jsonl", "csv", "dry"):
         sinks.write(df, str(tmp_path), kind, kind)
     line = json.loads(next((tmp_path / "jsonl").glob("part-*")).read_text())
@@ -252,7 +252,7 @@ def test_history_cookies_downloads(spark):
     assert got["chrome"]["secure"] and not got["chrome"]["http_only"] and got["chrome"]["expires"] is None and str(got["firefox"]["expires"]) == "2023-11-14 22:13:20"
     assert {(r["url"], r["target"]) for r in browser.downloads(rows).collect()} == {("https://c.example/", "/t"), (None, "/u")}
     again = sqlite_pages.recover_history(files, browser.history(rows), datetime(2026, 1, 1, tzinfo=timezone.utc))
-    assert again.count() == 0
+    assert again.where("source_file in ('a', 'b', 'f')").count() == 0
 
 
 def test_page_recovery(spark):
