@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -386,11 +386,19 @@ def file_categories(spark, sf):
 @query()
 def carved_image(spark, sf):
     """A synthetic image with a file of every format, carved and hashed."""
+    from pyarrow import fs
+
     from . import samples
     from .operators import carve
 
-    path = os.path.join(tempfile.mkdtemp(), "image.raw")
-    samples.write_image(path)
+    # executors read the image too: it goes to the folder that they share, a temporary one only where none is set
+    folder = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp()
+    filesystem, root = fs.FileSystem.from_uri(folder)
+    name = f"image-{uuid.uuid4().hex}.raw"
+    filesystem.create_dir(root, recursive=True)
+    with filesystem.open_output_stream(f"{root}/{name}") as out:
+        out.write(samples.image()[0])
+    path = f"{folder.rstrip('/')}/{name}"
     config = EngineConfig(chunk_size=256 << 10, overlap=64)
     chunks = evidence.read_evidence(spark, path, config.chunk_size, config.overlap)
     return carve.carve(scan.find_hits(chunks, config.patterns()), config, 8).drop("evidence")
