@@ -116,7 +116,8 @@ def write_archives(pages: DataFrame, folder: str, roll: int = ROLL, shard: int =
     asked = revisits.select("page_id", F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("html"), "digest", F.col("first").alias("refers_to"), F.lit(0).alias("kind"))
     rows = pages.withColumn("refers_to", F.lit(None).cast("long")).withColumn("kind", F.lit(1)).unionByName(asked).withColumn("shard", shard_of("page_id"))
     parts = max(1, min(len(bounds) + 1, 20_000))
-    rows = rows.repartition(parts, "shard").sortWithinPartitions("shard", "page_id", "digest", "kind", "url")
+    # shards go to tasks in turn, so that none gets several while another has none
+    rows = rows.repartitionById(parts, (F.col("shard") % parts).cast("int")).sortWithinPartitions("shard", "page_id", "digest", "kind", "url")
 
     def write(batches):
         import hashlib
