@@ -161,7 +161,7 @@ class LanguageModels:
                     counts.update(words_of(t))
             self.models.append(KneserNey(counts or Counter({"": 1}), order))
         self._start()
-        self.center, self.spread, self.limit = {lang: 3.0 for lang in self.languages}, dict.fromkeys(self.languages, 2.0), 12.0
+        self.center, self.spread, self.limit = {lang: 3.0 for lang in self.languages}, dict.fromkeys(self.languages, 2.0), dict.fromkeys(self.languages, 12.0)
         self.temperature = 20.0
         self._calibrate(held)
 
@@ -230,15 +230,24 @@ class LanguageModels:
             loss = -(x[np.arange(len(x)), truth] - np.log(np.exp(x).sum(1))).mean()
             if best is None or loss < best - 1e-6:
                 best, self.temperature = loss, float(temp)
-        entropy = -rate[np.arange(len(rate)), truth]
-        self.center, self.spread, worst = {}, {}, [6.0]
+        own = rate.argmax(1) == truth  # rows that another language fits better are mislabelled or mixed, and say nothing of their label's limit
+        if not own.any():
+            return
+        entropy, truth, chars = -rate[np.arange(len(rate)), truth][own], truth[own], chars[own]
+        self.center, self.spread, self.limit, bare = {}, {}, {}, []
         for k, lang in enumerate(self.languages):
             own = truth == k
-            mid = float(np.median(entropy[own])) if own.any() else float(np.median(entropy))
-            z = (entropy[own] - mid) * np.sqrt(chars[own]) if own.any() else np.array([2.0])
+            if not own.any():
+                bare.append(lang)
+                continue
+            mid = float(np.median(entropy[own]))
+            z = (entropy[own] - mid) * np.sqrt(chars[own])
             self.center[lang], self.spread[lang] = mid, max(float(np.median(np.abs(z))) * 1.4826, 0.5)
-            worst.append(float(np.quantile(z, 0.999)) / self.spread[lang])
-        self.limit = 1.5 * max(worst)
+            # a few rows of languages without a model may bear the label: the largest values don't count, and "lower" leaves one out of few rows too
+            self.limit[lang] = 3.0 * max(3.0, float(np.quantile(z, 0.95, method="lower")) / self.spread[lang])
+        loosest = max(self.limit.values())
+        for lang in bare:  # nothing is known of these, so they reject least
+            self.center[lang], self.spread[lang], self.limit[lang] = float(np.median(entropy)), 2.9652, loosest
 
     def predict(self, texts: list[str]):
         """(language, score, cross-entropy, rejected) of each text."""
@@ -254,7 +263,7 @@ class LanguageModels:
             k = int(np.argmax(rate))
             lang, x = self.languages[k], np.exp((rate - rate[k]) * self.temperature)
             over = -rate[k] - self.center[lang]
-            out.append((lang, float(1.0 / x.sum()), float(-rate[k]), bool(over > max(0.7, self.limit * self.spread[lang] / np.sqrt(n)))))
+            out.append((lang, float(1.0 / x.sum()), float(-rate[k]), bool(over > max(0.7, self.limit[lang] * self.spread[lang] / np.sqrt(n)))))
         return out
 
 

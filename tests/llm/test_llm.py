@@ -393,6 +393,27 @@ def test_language_id(spark, odd, none):
     assert rows(language_id.identify(junk, models))[0]["rejected"]
 
 
+@pytest.mark.parametrize("left", ["de", "en", "es", "fr"])
+def test_rejection_of_a_language_left_out(spark, left):
+    """Also where a few rows are mislabelled: some of languages that have models, and in the calibration rows (every eighth) one of the language left out."""
+    held, strange, texts = [], [], defaultdict(list)
+    for r in sorted(documents(spark, "/root/testdata/sf0.01").select("doc_id", "text", "lang").collect(), key=lambda r: r["text"]):
+        if r["doc_id"] % 5 == 0:
+            held.append(r)
+        elif r["lang"] == left:
+            strange.append(r["text"])
+        else:
+            texts[r["lang"]].append(r["text"])
+    langs = sorted(texts)
+    wrong = {lang: texts[langs[k - 1]][20:23] for k, lang in enumerate(langs)}
+    for k, lang in enumerate(langs):
+        texts[lang] = [strange[k], *texts[lang][:7], *wrong[lang], *texts[lang][7:]]
+    models = language_id.LanguageModels(texts)
+    out = [(r["lang"], x[3]) for r, x in zip(held, models.predict([r["text"] for r in held]), strict=True)]
+    foreign, own = [x for lang, x in out if lang == left], [x for lang, x in out if lang != left]
+    assert sum(foreign) >= 0.95 * len(foreign) and sum(own) <= 0.02 * len(own)
+
+
 def test_kneser_ney_sums_to_one():
     m = language_id.LanguageModels({"x": ["abc abd abd bcd a", "bca"]}, order=3)
     chars = [chr(c) for c in range(97, 123)]
