@@ -16,13 +16,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import pieces
+from .common import narrow, pieces
 
 WORD = re.compile(r"[^\W\d_]+")
 UNDETERMINED = "und"
 ALPHABET = 5000
 MIX = 0x9E3779B97F4A7C15
-WORDS = 200_000
+#: Remembered words, and of these times languages; characters that are scored together, times languages.
+WORDS, CELLS, BLOCK = 200_000, 20_000_000, 1 << 27
 
 
 def words_of(text: str) -> list[str]:
@@ -167,6 +168,7 @@ class LanguageModels:
 
     def _start(self):
         self.known, self.table, self.used = {}, None, 0
+        self.most = max(1000, min(WORDS, CELLS // (len(self.languages) + 1)))
 
     def __getstate__(self):
         return self.__dict__ | {"known": {}, "table": None, "used": 0}
@@ -188,6 +190,10 @@ class LanguageModels:
         out[[not any(map(str.isalpha, w)) for w in words]] = 0
         return out
 
+    def block(self) -> int:
+        """Characters to score together: fewer with many languages, as each word has a number for each."""
+        return max(20_000, min(1 << 20, BLOCK // (len(self.languages) + 1)))
+
     def totals(self, texts: list[str]):
         """Sums of word_scores over each text."""
         import numpy as np
@@ -195,12 +201,12 @@ class LanguageModels:
         listed = [words_of(t) for t in texts]
         known = self.known
         new = list({w for ws in listed for w in ws if w not in known})
-        if len(known) + len(new) > WORDS:
+        if len(known) + len(new) > self.most:
             known.clear()
             self.used, new = 0, list({w for ws in listed for w in ws})
         need = self.used + len(new)
         if self.table is None or need > len(self.table):
-            bigger = np.zeros((max(need, 2 * WORDS if self.table is None else 2 * len(self.table)), len(self.languages) + 1))
+            bigger = np.zeros((max(need, 2 * self.most if self.table is None else 2 * len(self.table)), len(self.languages) + 1))
             if self.used:
                 bigger[: self.used] = self.table[: self.used]
             self.table = bigger
@@ -217,7 +223,7 @@ class LanguageModels:
 
         if not held:
             return
-        sums = self.totals([t for _, t in held])
+        sums = np.concatenate([self.totals([t for _, t in part]) for part in pieces(held, lambda r: r[1], self.block())])
         chars, truth = sums[:, -1], np.array([self.languages.index(lang) for lang, _ in held])
         ok = chars > 0
         if not ok.any():
@@ -273,20 +279,30 @@ def training_rows(docs: DataFrame, id_col: str, text_col: str, lang_col: str) ->
     return docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(lang_col).alias("l"), fold.alias("fold")).where("fold <> 0 and l is not null and t is not null")
 
 
-def learn(docs: DataFrame, rows_per_language: int = 1500, rows_in_all: int = 60_000, longest: int = 20_000, order: int = 4, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LanguageModels:
-    """Models learned from a sample chosen by a hash of the id: about ``rows_per_language`` rows of each language and ``rows_in_all`` at most, of up to
-    ``longest`` characters each.  These bounds hold whatever the table's size, so what the driver gets is bounded too.
+def learn(docs: DataFrame, rows_per_language: int = 1500, rows_in_all: int = 60_000, longest: int = 20_000, order: int = 4, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", chars_in_all: int = 120_000_000) -> LanguageModels:
+    """Models of all labels, learned from a sample chosen by a hash of the id: about ``rows_per_language`` rows of each language, ``rows_in_all`` and
+    ``chars_in_all`` at most.  Of a text above ``longest`` characters it takes a stretch of so many, whose place the hash chooses.  Each label
+    keeps one row at least, whatever its number of rows; apart from that these bounds hold whatever the table's size, so what the driver gets is bounded too.
     """
-    rows = training_rows(docs, id_col, text_col, lang_col).where(F.length("t") <= longest)
-    counts = {r["l"]: r["n"] for r in rows.groupBy("l").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "l").limit(1000).collect()}
+    rows = training_rows(docs, id_col, text_col, lang_col)
+    size = F.least(F.length("t"), F.lit(longest))
+    counts = {r["l"]: (r["n"], r["chars"]) for r in rows.groupBy("l").agg(F.count(F.lit(1)).alias("n"), F.sum(size).alias("chars")).collect()}
     if not counts:
         return LanguageModels({}, order)
-    each = max(1, min(rows_per_language, rows_in_all // len(counts)))
-    share = F.create_map(*[x for lang, n in counts.items() for x in (F.lit(lang), F.lit(min(1.0, each / n)))])
-    draw = F.conv(F.substring(F.md5(F.coalesce(F.col("i").cast("string"), F.lit(""))), 1, 8), 16, 10).cast("double") / float(1 << 32)
+    each, chars = max(1, min(rows_per_language, rows_in_all // len(counts))), chars_in_all / len(counts)
+    shares = docs.sparkSession.createDataFrame([(lang, min(1.0, each / n, chars / max(1, c))) for lang, (n, c) in counts.items()], "l string, share double")
+    key = F.coalesce(F.col("i").cast("string"), F.lit(""))
+    draw = F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("double") / float(1 << 32)
+    start = F.pmod(F.xxhash64(key), F.length("t") - longest + 1).cast("int") + 1
+    stretch = F.when(F.length("t") > longest, F.substring(F.col("t"), start, F.lit(longest))).otherwise(F.col("t")).alias("t")
     texts: dict[str, list[str]] = {}
-    for r in rows.where(draw < F.coalesce(share[F.col("l")], F.lit(0.0))).select("l", "t").toLocalIterator():
+    for r in rows.join(narrow(shares, len(counts)), "l").where(draw < F.col("share")).select("l", stretch).toLocalIterator():
         texts.setdefault(r["l"], []).append(r["t"])
+    missed = [(lang,) for lang in counts if lang not in texts]
+    if missed:  # none of their rows was drawn
+        rest = rows.join(narrow(docs.sparkSession.createDataFrame(missed, "l string"), len(missed)), "l").select("l", stretch, F.struct(draw.alias("draw"), F.xxhash64("t").alias("h")).alias("by"))
+        for r in rest.groupBy("l").agg(F.min_by("t", "by").alias("t")).toLocalIterator():
+            texts[r["l"]] = [r["t"]]
     return LanguageModels({k: sorted(v) for k, v in texts.items()}, order)
 
 
@@ -306,7 +322,7 @@ def identify(docs: DataFrame, models: LanguageModels, text_col: str = "text", ad
 
         m = shared.value
         for batch in batches:
-            got = [x for rows in pieces([(t,) for t in batch.column(at).to_pylist()], lambda r: r[0]) for x in m.predict([r[0] or "" for r in rows])]
+            got = [x for rows in pieces([(t,) for t in batch.column(at).to_pylist()], lambda r: r[0], m.block()) for x in m.predict([r[0] or "" for r in rows])]
             cols = [pa.array([g[k] for g in got], kind) for k, kind in enumerate((pa.string(), pa.float64(), pa.float64(), pa.bool_()))]
             yield pa.RecordBatch.from_arrays([*batch.columns, *cols], names=[*batch.schema.names, *add])
 

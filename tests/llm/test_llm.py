@@ -414,6 +414,25 @@ def test_rejection_of_a_language_left_out(spark, left):
     assert sum(foreign) >= 0.95 * len(foreign) and sum(own) <= 0.02 * len(own)
 
 
+def test_every_label_keeps_a_model(spark):
+    """Labels with long rows only, labels none of whose rows is drawn, and more labels than a thousand."""
+    r = random.Random(8)
+    stock = {lang: ["".join(r.choice(letters) for _ in range(r.randint(2, 7))) for _ in range(300)] for lang, letters in (("aa", "abcdeio"), ("long", "uvwxyzo"))}
+    text = lambda lang, n: " ".join(r.choice(stock[lang]) for _ in range(n))
+    docs = [(i, text("aa", 80), "aa") for i in range(60)] + [(i, text("long", 6000), "long") for i in range(60, 110)]
+    docs = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    models = language_id.learn(docs)
+    assert models.languages == ["aa", "long"]
+    short = spark.createDataFrame([(i, text(("aa", "long")[i % 2], 60)) for i in range(40)], "doc_id long, text string")
+    got = rows(language_id.identify(short, models))
+    assert all(x["lang_pred"] == ("aa", "long")[x["doc_id"] % 2] and not x["rejected"] for x in got)
+    alike = docs.selectExpr("0L as doc_id", "text", "lang")  # one draw for all, above their share
+    assert language_id.learn(alike, rows_per_language=1).languages == ["aa", "long"]
+    many = spark.range(1500).selectExpr("id as doc_id", "concat('word', id) as text", "concat('l', id) as lang")
+    kept = many.where("crc32(cast(cast(doc_id as string) as binary)) % 5 <> 0").count()
+    assert kept > 1000 and len(language_id.learn(many).languages) == kept
+
+
 def test_kneser_ney_sums_to_one():
     m = language_id.LanguageModels({"x": ["abc abd abd bcd a", "bca"]}, order=3)
     chars = [chr(c) for c in range(97, 123)]
