@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import pieces
-from .piece_fst import PieceTransducer
+from .piece_fst import PieceTransducer, fitting
 
 
 @lru_cache(maxsize=2)
@@ -71,23 +71,40 @@ def decode_pieces(encoded: DataFrame, model_path: str, id_col: str = "doc_id", i
     return encoded.select(F.col(id_col), F.col(ids_col)).mapInArrow(run, schema)
 
 
-def token_counts(docs: DataFrame, model_path: str, budget: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_bytes, n_tokens, over_limit, cut_chars) of every row.
+def token_counts(docs: DataFrame, model_path: str, budget: int = 4096, id_col: str = "doc_id", text_col: str = "text", prefixes: bool = False) -> DataFrame:
+    """(id, n_bytes, n_tokens, over_limit, cut_chars) of every row; with ``prefixes``, prefix_counts as well: the token count of each prefix, from the empty one
+    to the whole text, which cut_at() answers other budgets from.
 
-    n_tokens is the distance of the last prefix; over_limit says whether it exceeds ``budget``, and cut_chars is the number of characters
+    n_tokens is the count of the last prefix; over_limit says whether it exceeds ``budget``, and cut_chars is the number of characters
     of the longest prefix none of whose prefixes does (the whole length where it fits).  Null counts as empty.  Ids may be null or
     repeated; other columns are ignored.
     """
     kind = docs.schema[id_col].dataType
-    schema = T.StructType([T.StructField(id_col, kind), T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("over_limit", T.BooleanType()), T.StructField("cut_chars", T.LongType())])
+    schema = T.StructType([T.StructField(id_col, kind), T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("over_limit", T.BooleanType()), T.StructField("cut_chars", T.LongType()), *[T.StructField("prefix_counts", T.ArrayType(T.IntegerType()))] * prefixes])
 
     def block(rows):
+        import numpy as np
         import pyarrow as pa
 
         m = transducer(model_path)
         texts = [r[1] or "" for r in rows]
-        counts = [m.count(t) for t in texts]
-        cuts = [m.longest_prefix(t, budget) if n > budget else len(t) for t, n in zip(texts, counts, strict=True)]
-        return [pa.array([r[0] for r in rows]), pa.array([len(t.encode()) for t in texts], pa.int64()), pa.array(counts, pa.int64()), pa.array([n > budget for n in counts], pa.bool_()), pa.array(cuts, pa.int64())]
+        tokens, cuts, kept = [], [], []
+        for t in texts:
+            counts = m.prefix_counts(t)
+            tokens.append(int(counts[-1]))
+            cuts.append(fitting(counts, budget))
+            if prefixes:
+                kept.append(counts.astype("i4"))
+        out = [pa.array([r[0] for r in rows]), pa.array([len(t.encode()) for t in texts], pa.int64()), pa.array(tokens, pa.int64()), pa.array([n > budget for n in tokens], pa.bool_()), pa.array(cuts, pa.int64())]
+        if prefixes:
+            ends = np.cumsum([0, *map(len, kept)])
+            out.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(kept))))
+        return out
 
     return _arrow(docs.select(F.col(id_col), F.col(text_col)), block, schema)
+
+
+def cut_at(counted: DataFrame, budget: int, id_col: str = "doc_id") -> DataFrame:
+    """(id, over_limit, cut_chars) for another budget, from the stored ``prefix_counts`` of token_counts(); nothing is encoded."""
+    first = F.array_position(F.transform("prefix_counts", lambda n: n > budget), True)
+    return counted.select(F.col(id_col), (F.element_at("prefix_counts", -1) > budget).alias("over_limit"), F.when(first > 0, first - 2).otherwise(F.size("prefix_counts") - 1).cast("long").alias("cut_chars"))

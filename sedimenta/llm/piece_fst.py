@@ -19,6 +19,7 @@ from __future__ import annotations
 import re
 from array import array
 from collections import defaultdict
+from operator import sub
 
 import ahocorasick
 import numpy as np
@@ -70,6 +71,7 @@ class PieceTransducer:
         self.spelled = [p.piece.replace(SPACE, " ").encode() if p.type == NORMAL else bytes([int(p.piece[3:5], 16)]) if p.type == BYTE else " ⁇ ".encode() if p.type == UNKNOWN else b"" for p in proto.pieces]
         self.least = min(self.scores.values(), default=0.0) - 10.0
         self.cache, self.young, self.old, self.words, self.old_words, self.pairs, self.n_pairs = cache, {}, {}, {}, {}, defaultdict(dict), 0
+        self.steps, self.old_steps = [{}, {}], [{}, {}]
         self.sizes = [len(p.piece) for p in proto.pieces]
         self.labels = _Labels({i: p for p, i in self.ids.items()})
         self.whole = {p for p in self.ids if not self.bpe or self._merged(p) == [p]}
@@ -141,15 +143,17 @@ class PieceTransducer:
             last.append(-1 - ord(c))
         return last
 
+    def _counts(self, text: str) -> list[int]:
+        """The token count of every prefix: that of the place where the last label of its best path begins, and the label's own."""
+        last, counts = self._states(text) if self.bpe else self._lattice(text)[1], [0]
+        for j in range(1, len(last)):
+            label = last[j]
+            counts.append(counts[j - self.sizes[label]] + 1 if label >= 0 else counts[j - 1] + len(self._tokens(label)))
+        return counts
+
     def _lattice(self, text: str) -> tuple[list, list]:
-        """Distance and last label of every position's best state; for merge models, distance is the token count of the prefix."""
+        """Distance and last label of every position's best state, for unigram models."""
         dist: list = [0]
-        if self.bpe:
-            last = self._states(text)
-            for j in range(1, len(last)):
-                label = last[j]
-                dist.append(dist[j - len(self.labels[label])] + (1 if label >= 0 else len(self._tokens(label))))
-            return dist, last
         n, scores = len(text), self.scores
         dist += [None] * n
         last, done = [-1] * (n + 1), 0
@@ -227,41 +231,40 @@ class PieceTransducer:
         text = b"".join([spelled[i] for i in ids]).decode("utf-8", "replace")
         return text[1:] if self.prefix and text.startswith(" ") else text
 
-    def count(self, text: str) -> int:
-        return sum(map(len, self._parts(text))) // 4
+    def _steps(self, stretch: str, worded: bool) -> bytes:
+        """By how much each character of a stretch (or of a word, its space first) changes the count of the prefix that ends with it, as 32-bit integers."""
+        at = int(worded)
+        known = self.steps[at].get(stretch) or self.old_steps[at].get(stretch)
+        if known is None:
+            out = array("i")
+            for part in self.stretch.findall(" " + stretch) if worded else [stretch]:
+                counts = self._counts(part.replace(" ", SPACE))
+                out.extend(map(sub, counts[1:], counts))
+            known = out.tobytes()
+        if len(stretch) <= 64:
+            self.steps[at][stretch] = known
+            if len(self.steps[at]) >= self.cache:
+                self.old_steps[at], self.steps[at] = self.steps[at], {}
+        return known
 
     def prefix_counts(self, text: str) -> np.ndarray:
-        """Token counts of text[:0], text[:1], ..., text (merge models only).  Answers any budget question without encoding again."""
-        if not self.bpe:
-            raise ValueError("prefix counts need a merge model")
-        out, base = [0], 0
-        parts = self._stretches(text)
-        for k, s in enumerate(parts):
-            dist, _ = self._lattice(s.replace(" ", SPACE))
-            out += [base + d for d in dist[1 + (k == 0 and bool(self.prefix)) :]]
-            base += dist[-1]
-        return np.array(out, "int64")
+        """Token counts of text[:0], text[:1], ..., text: running sums over the remembered steps of its parts.  Answers any budget question without encoding again."""
+        if not text:
+            return np.zeros(1, "int64")
+        worded = self._worded(text)
+        get, steps = self.steps[worded].get, self._steps
+        counts = np.frombuffer(b"".join([get(s) or steps(s, worded) for s in (text.split(" ") if worded else self._stretches(text))]), "i4").cumsum(dtype="int64")
+        if not self.prefix:
+            return np.concatenate([[0], counts])
+        counts[0] = 0  # the place after the dummy prefix is that of the empty text
+        return counts
 
     def longest_prefix(self, text: str, budget: int) -> int:
-        """The most characters k such that text[:k] has at most ``budget`` tokens, and so has every shorter prefix.
+        """The most characters k such that text[:k] has at most ``budget`` tokens, and so has every shorter prefix."""
+        return fitting(self.prefix_counts(text), budget)
 
-        Parts are added from their remembered counts; only those in which the budget can end are looked at by character.
-        """
-        base, at, worded = 0, 0, self._worded(text)
-        for k, s in enumerate(text.split(" ") if worded else self._stretches(text)):
-            lead = int(k == 0 and bool(self.prefix))
-            known = (self.words if worded else self.young).get(s) or self._packed(s, worded)
-            s = " " + s if worded else s
-            if base + len(s.encode("utf-8", "replace")) > budget:  # a prefix of the part may have more tokens than the whole
-                inner = base
-                for part in self.stretch.findall(s) if worded else [s]:
-                    dist = self._lattice(part.replace(" ", SPACE))[0]
-                    for d in dist[1 + lead :]:
-                        if inner + d > budget:
-                            return at
-                        at += 1
-                    inner, lead = inner + dist[-1], 0
-            else:
-                at += len(s) - lead
-            base += len(known) // 4
-        return at
+
+def fitting(counts: np.ndarray, budget: int) -> int:
+    """The last place of ``counts`` up to which none is above the budget."""
+    over = counts > budget
+    return int(over.argmax()) - 1 if over.any() else len(counts) - 1

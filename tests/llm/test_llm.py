@@ -358,6 +358,25 @@ def test_prefix_counts(library):
             assert max(counts[: k + 1]) <= budget and (k == len(t) or counts[k + 1] > budget)
 
 
+def test_stored_prefix_counts_answer_other_budgets(spark, sf, odd, library, monkeypatch):
+    for docs in (documents(spark, sf).limit(40), odd.where("length(text) < 1000 or text is null")):
+        counted = encoding.token_counts(docs, queries.model_path(), prefixes=True).cache()
+        text = {}
+        for r in docs.collect():
+            text.setdefault(r["doc_id"], set()).add(r["text"] or "")
+        for r in counted.collect():
+            assert any(len(t) == len(r["prefix_counts"]) - 1 and all(len(library.encode(t[:k])) == r["prefix_counts"][k] for k in {*range(0, len(t), 1 + len(t) // 50), len(t)}) for t in text[r["doc_id"]])
+            assert r["n_tokens"] == r["prefix_counts"][-1]
+        for budget in (0, 7, 300):
+            key = lambda d: Counter((r["doc_id"], r["over_limit"], r["cut_chars"]) for r in d.select("doc_id", "over_limit", "cut_chars").collect())
+            assert key(encoding.cut_at(counted, budget)) == key(encoding.token_counts(docs, queries.model_path(), budget=budget))
+    m, seen = encoding.transducer(queries.model_path()), []
+    monkeypatch.setattr(m, "_counts", lambda part, real=m._counts: seen.append(part) or real(part))
+    m.prefix_counts("wholly unremembered zyxwvut")
+    m.prefix_counts("wholly unremembered zyxwvut")
+    assert seen and len(seen) == len(set(seen))
+
+
 def test_unigram_path():
     """The same machine with additive weights takes the best segmentation."""
     from sentencepiece import sentencepiece_model_pb2 as pb
