@@ -1,7 +1,7 @@
 """Personal data: four kinds found by their form, and more by bootstrapped contextual extraction; DataFrame operations only.
 
 Seeds are the well-formed entities.  The two words before an entity, lower-cased, are its pattern.  Patterns and identifier-like tokens form a graph,
-which is scored in rounds: a pattern's precision for a kind is the share of its instances that are known to be of that kind, and it is trusted
+which is scored in rounds until nothing changes: a pattern's precision for a kind is the share of its instances that are known to be of that kind, and it is trusted
 with ``support`` different known instances and a precision of ``trust``; an unknown token is accepted if the chance that all its trusted
 patterns err is small enough, and counts as known in the next round.  So tokens are found whose own form says nothing, but which stand where
 e-mail addresses or numbers do.
@@ -27,7 +27,8 @@ FORMS = {
 #: Tokens that a pattern may discover: six characters or more without white space and quotes, with a digit or an at sign.
 TOKEN = r"(?<![^\s\x22'<>(),;])(?=[^\s\x22'<>(),;]{6})(?=[^\s\x22'<>(),;0-9@]*+[0-9@])[^\s\x22'<>(),;]++"
 DIGIT_OF = {"email": "@", "phone": "+"}
-SUPPORT, TRUST, ACCEPT, ROUNDS = 3, 0.8, 0.8, 3
+#: ROUNDS only guards against endless runs: scoring ends when nothing changes, and fails if that takes more rounds.
+SUPPORT, TRUST, ACCEPT, ROUNDS = 3, 0.8, 0.8, 1000
 
 
 def _luhn(digits: Column) -> Column:
@@ -74,7 +75,8 @@ def discover(found: DataFrame, support: int = SUPPORT, trust: float = TRUST, acc
     """(value, kind) of the tokens that trusted patterns give a kind.
 
     ``found`` as candidates() gives it.  Each round groups instances by pattern and by value (combined before the shuffle) and joins tables that have one
-    row per pattern or value, so frequent patterns don't multiply rows.
+    row per pattern or value, so frequent patterns don't multiply rows.  Rounds go on until the learned rows are those of the round before.  Should
+    they come back to those of an earlier round (values that change kind back and forth), values keep their kinds from then on, so that the rest settles.
     """
     marked = found.where("pattern is not null")
     seeds = marked.where("kind <> 'token'").select("pattern", "value", F.col("kind").alias("known"))
@@ -85,7 +87,7 @@ def discover(found: DataFrame, support: int = SUPPORT, trust: float = TRUST, acc
     if rated.isEmpty():
         return found.sparkSession.createDataFrame([], "value long, kind string")
     tokens = cut(tokens)
-    learned = None
+    learned, last, seen, held = None, None, set(), False
     for _ in range(rounds):
         known = seeds if learned is None else seeds.unionByName(tokens.join(learned.withColumnRenamed("kind", "known"), "value").select("pattern", "value", "known")).distinct()
         mine = known.groupBy("pattern", "known").agg(F.count(F.lit(1)).alias("n"))
@@ -95,10 +97,16 @@ def discover(found: DataFrame, support: int = SUPPORT, trust: float = TRUST, acc
         err = F.exp(F.sum(F.log(F.greatest(F.lit(1e-9), 1 - F.col("precision")))))
         told = tokens.join(trusted.select("pattern", "known", "precision"), "pattern").groupBy("value", "known").agg((1 - err).alias("chance")).where(F.col("chance") >= accept)
         best = told.groupBy("value").agg(F.max_by("known", F.struct("chance", "known")).alias("kind"))
-        before, learned = learned, cut(best)
-        if before is not None and learned.count() == before.count():
-            break
-    return learned
+        if held:
+            best = learned.unionByName(best.join(learned, "value", "left_anti"))
+        learned = cut(best)
+        now = tuple(learned.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("value", "kind"))).first())
+        if now == last:
+            return learned
+        held = held or now in seen
+        last = now
+        seen.add(now)
+    raise RuntimeError(f"personal data: patterns and tokens have not settled after {rounds} rounds")
 
 
 def candidates_outside(found: DataFrame) -> DataFrame:

@@ -212,6 +212,28 @@ def test_bootstrapped_patterns(spark):
     assert got[10] == "email:16:32" and got[11] == "" and got[0] == "email:16:38"
 
 
+def test_patterns_in_a_chain(spark):
+    """Seeds -> 'write to' -> a tokens -> 'reach me' -> b -> 'ask for' -> c -> 'call on' -> d: four hops."""
+    texts = [f"write to user{i}@mail.example.org" for i in range(625)] + [f"write to a{i}.at.host" for i in range(125)]
+    texts += [f"reach me a{i}.at.host" for i in range(125)] + [f"reach me b{i}.at.host" for i in range(25)]
+    texts += [f"ask for b{i}.at.host" for i in range(25)] + [f"ask for c{i}.at.host" for i in range(5)]
+    texts += [f"call on c{i}.at.host" for i in range(5)] + ["call on d0.at.host"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["spans"] for r in rows(personal_data.find_personal_data(docs))}
+    assert got == {i: f"email:{t.rindex(' ') + 1}:{len(t)}" for i, t in enumerate(texts)}
+    with pytest.raises(RuntimeError):
+        personal_data.find_personal_data(docs, rounds=3)
+
+
+def test_a_token_of_two_kinds_settles(spark):
+    """Equally good kinds give one of them, and others still get theirs."""
+    found = [("p", k, "email") for k in range(8)] + [("q", 100 + k, "phone") for k in range(8)]
+    found += [("p", 50, "token"), ("q", 50, "token"), ("p", 51, "token")]
+    found = spark.createDataFrame(found, "pattern string, value long, kind string")
+    got = {r["value"]: r["kind"] for r in personal_data.discover(found).collect()}
+    assert set(got) == {50, 51} and got[51] == "email"
+
+
 # near duplicates
 
 
