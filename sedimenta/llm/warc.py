@@ -210,8 +210,8 @@ def members(stream, block: int = 1 << 20):
             z, parts = zlib.decompressobj(31), []
 
 
-def parse_record(record: bytes) -> tuple[dict, dict, bytes, bool]:
-    """(headers, HTTP headers, payload, whether the digests hold) of one record; header names in lower case."""
+def parse_record(record: bytes) -> tuple[dict, dict, bytes, str, bool]:
+    """(headers, HTTP headers, payload, its SHA-256, whether the digests hold) of one record; header names in lower case."""
     import hashlib
 
     head, _, rest = record.partition(b"\r\n\r\n")
@@ -223,15 +223,17 @@ def parse_record(record: bytes) -> tuple[dict, dict, bytes, bool]:
     http, _, payload = block.partition(b"\r\n\r\n")
     web = {k.lower(): v for k, _, v in (x.partition(": ") for x in http.decode("latin-1").split("\r\n")[1:])}
     ok = headers["warc-block-digest"] == "sha256:" + hashlib.sha256(block).hexdigest()
+    digest = hashlib.sha256(payload).hexdigest()
     if headers["warc-type"] == "response":
-        ok = ok and headers["warc-payload-digest"] == "sha256:" + hashlib.sha256(payload).hexdigest() and len(payload) == int(web["content-length"])
-    return headers, web, payload, ok
+        ok = ok and headers["warc-payload-digest"] == "sha256:" + digest and len(payload) == int(web["content-length"])
+    return headers, web, payload, digest, ok
 
 
-def read_archives(spark: SparkSession, folder: str, payloads: bool = True) -> DataFrame:
+def read_archives(spark: SparkSession, folder: str, payloads: bool = True, strict: bool = False) -> DataFrame:
     """A row for each record of the files that the manifest names, in the columns of ``RECORDS``; html is null for revisits, or without ``payloads``.
 
-    digest_ok says whether the record's digests are those of its content.  Files are read as streams, one record at a time.
+    payload_bytes and payload_digest are those of the payload that was read, or for a revisit, which has none, those that it names.
+    digest_ok says whether the record's digests are those of its content; with ``strict``, a record for which it is false is an error.  Files are read as streams, one record at a time.
     """
     files = spark.read.schema(FILES).json(posixpath.join(folder, MANIFEST))
     n = files.count()
@@ -247,9 +249,11 @@ def read_archives(spark: SparkSession, folder: str, payloads: bool = True) -> Da
                 rows, size = [], 0
                 with filesystem.open_input_stream(posixpath.join(root, name), compression=None, buffer_size=1 << 20) as stream:
                     for record in members(stream):
-                        h, web, payload, ok = parse_record(record)
+                        h, web, payload, digest, ok = parse_record(record)
+                        if strict and not ok:
+                            raise ValueError(f"a record's content is not that of its digest: page {h.get('x-page-id')} in {name}")
                         page, to, response = h.get("x-page-id"), h.get("x-refers-to-page-id"), h["warc-type"] == "response"
-                        rows.append((page and int(page), h.get("warc-target-uri"), h["warc-type"], to and int(to), int(web["content-length"]), h["warc-payload-digest"].partition(":")[2], payload if response and payloads else None, name, ok))
+                        rows.append((page and int(page), h.get("warc-target-uri"), h["warc-type"], to and int(to), len(payload) if response else int(web["content-length"]), digest if response else h["warc-payload-digest"].partition(":")[2], payload if response and payloads else None, name, ok))
                         size += len(record) if payloads else 200
                         if size > 4 << 20:
                             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
@@ -261,7 +265,7 @@ def read_archives(spark: SparkSession, folder: str, payloads: bool = True) -> Da
 
 
 def round_trip(pages: DataFrame, folder: str | None = None, **options) -> DataFrame:
-    """What the archives of ``pages`` hold when they are read back."""
+    """What the archives of ``pages`` hold when they are read back; a record that doesn't agree with its digests is an error."""
     folder = folder or new_folder(pages.sparkSession, "warc")
     write_archives(pages, folder, **options)
-    return read_archives(pages.sparkSession, folder, payloads=False)
+    return read_archives(pages.sparkSession, folder, payloads=False, strict=True)

@@ -334,6 +334,28 @@ def test_warc(spark, sf, tmp_path):
     assert not rows(warc.round_trip(docs.where("page_id < -1")))
 
 
+def test_damaged_payloads_are_noticed(spark, tmp_path, monkeypatch):
+    import gzip
+
+    pages = spark.createDataFrame([(1, "u", "<p>first page</p>" * 20), (2, "v", "<p>second page</p>" * 20)], "page_id long, url string, html string")
+    folder, write = "file://" + str(tmp_path / "a"), warc.write_archives
+
+    def damage(*args, **options):
+        out = write(*args, **options)
+        for file in (tmp_path / "a").glob("*.gz"):
+            with open(file, "rb") as f:
+                records = list(warc.members(f))
+            file.write_bytes(b"".join(gzip.compress(r.replace(b"second page", b"another one", 1)) for r in records))
+        return out
+
+    monkeypatch.setattr(warc, "write_archives", damage)
+    with pytest.raises(Exception, match="not that of its digest: page 2"):
+        warc.round_trip(pages, folder).collect()
+    texts = {1: b"<p>first page</p>" * 20, 2: (b"<p>second page</p>" * 20).replace(b"second page", b"another one", 1)}
+    got = {r["page_id"]: r for r in warc.read_archives(spark, folder).collect()}
+    assert {i: (r["payload_bytes"], r["payload_digest"], r["digest_ok"]) for i, r in got.items()} == {i: (len(t), hashlib.sha256(t).hexdigest(), i == 1) for i, t in texts.items()}
+
+
 def test_shard_bounds_refine_dense_ranges(spark):
     sizes = spark.createDataFrame([(i, 10) for i in range(100)] + [(10**12, 10)], "page_id long, bytes long")
     bounds = warc.shard_bounds(sizes, target=100, ranges=4)
