@@ -2,8 +2,9 @@
 
 Every k-gram of consecutive words of a text is hashed and joined to the k-grams of the license templates.  A match at word p of the text
 and word q of a template votes for the diagonal p - q.  An unbroken copy gives all its votes to one diagonal; words put in or left out move the
-rest to neighbouring diagonals, so neighbours whose matches adjoin are merged to spans.  A span is accepted if the words themselves agree (the join
-compares them, not only hashes) on a sufficient share of the template's k-grams.
+rest to neighbouring diagonals, so neighbours whose matches adjoin are merged to spans.  A span is accepted if matches (the join compares words,
+not only hashes) cover a sufficient share of the template's words.  A span of which more than half lies in one of another label with a larger share goes, as
+licenses differ in few words.
 
 Base phrases are templates that count only if every k-gram votes for one diagonal, which is the place where the phrase stands.
 """
@@ -67,15 +68,22 @@ def scan_licenses(docs: DataFrame, base=BASE, templates=TEMPLATES, gap: int = GA
     place = F.col("base") & (F.col("votes") == F.col("n_grams"))
     spanned = spanned.groupBy("uid", "doc_id", "n_words", "tid", "label", "base", "n_grams", "span").agg(
         F.count(F.when(place, 1)).alias("places"), F.min(F.when(place, F.col("diagonal"))).alias("first"), F.max(F.when(place, F.col("diagonal"))).alias("last"),
-        F.min("low").alias("low"), F.max("high").alias("high"), F.size(F.array_distinct(F.flatten(F.collect_list("seen")))).alias("matched"),
+        F.min("low").alias("low"), F.max("high").alias("high"), F.array_distinct(F.flatten(F.collect_list("seen"))).alias("seen"),
     )
-    part = F.col("matched") / F.col("n_grams")
-    good = F.when(F.col("base"), F.col("places") > 0).otherwise(part >= share)
+    covered = F.size(F.array_distinct(F.flatten(F.transform("seen", lambda t: F.sequence(t, t + GRAM - 1)))))
+    whole = F.col("n_grams") + GRAM - 1
+    spanned = spanned.withColumn("covered", covered).drop("seen")
+    part = F.col("covered") / F.greatest(whole, F.col("high") + GRAM - F.col("low"))
+    good = F.when(F.col("base"), F.col("places") > 0).otherwise(F.col("covered") / whole >= share)
     joined = lambda c: F.concat_ws(",", F.array_sort(F.collect_set(c)))
     out = spanned.groupBy("uid", "doc_id", "n_words").agg(
         F.coalesce(F.sum("places"), F.lit(0)).alias("n_base"), F.min("first").cast("long").alias("first_word"), F.max("last").cast("long").alias("last_word"),
-        joined(F.when(F.col("base") & good, F.col("label"))).alias("base_labels"), joined(F.when(good, F.col("label"))).alias("labels"),
+        joined(F.when(F.col("base") & good, F.col("label"))).alias("base_labels"), F.collect_set(F.when(F.col("base") & good, F.col("label"))).alias("own"),
         F.coalesce(F.max(F.when(good, F.when(F.col("base"), 1.0).otherwise(part))), F.lit(0.0)).alias("score"),
-        F.array_sort(F.collect_list(F.when(good, F.struct("label", F.col("low").cast("long").alias("first"), (F.col("high") + GRAM - 1).cast("long").alias("last"), part.alias("share"))))).alias("spans"),
+        F.array_sort(F.collect_list(F.when(good, F.struct("label", F.col("low").cast("long").alias("first"), (F.col("high") + GRAM - 1).cast("long").alias("last"), part.alias("share"), F.col("base").alias("sure"))))).alias("found"),
     )
+    better = lambda s, o: (o["label"] != s["label"]) & ~o["sure"] & (2 * (F.least(s["last"], o["last"]) - F.greatest(s["first"], o["first"]) + 1) > s["last"] - s["first"] + 1) & (o["share"] > s["share"])
+    out = out.withColumn("kept", F.filter("found", lambda s: s["sure"] | ~F.exists("found", lambda o: better(s, o))))
+    out = out.withColumn("labels", F.concat_ws(",", F.array_sort(F.array_union("own", F.transform("kept", lambda s: s["label"])))))
+    out = out.withColumn("spans", F.transform("kept", lambda s: F.struct(s["label"].alias("label"), s["first"].alias("first"), s["last"].alias("last"), s["share"].alias("share"))))
     return out.select(F.col("doc_id").alias(id_col), "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", *["spans"] * spans)

@@ -168,6 +168,20 @@ def test_license_passages_with_edits(spark):
     assert got[2]["labels"] == got[3]["labels"] == ""
 
 
+def test_one_changed_word_keeps_the_label(spark):
+    texts, want = ["This work is licensed under the Creative Commons Attribution-ShareAlike"], ["cc-by-sa"]
+    for text, label in license_scan.TEMPLATES:
+        words = text.split()
+        for at in (0, len(words) // 2):
+            texts.append(" ".join([*words[:at], "otherwise", *words[at + 1 :]]))
+            want.append(label)
+        texts.append(text)
+        want.append(label)
+    got = {r["doc_id"]: r["labels"] for r in rows(license_scan.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))}
+    assert all(label in got[i].split(",") for i, label in enumerate(want)), [(texts[i], got[i], x) for i, x in enumerate(want) if x not in got[i].split(",")]
+    assert all(got[i] == label for i, label in enumerate(want) if i and i % 3 == 0)
+
+
 # personal data
 
 
