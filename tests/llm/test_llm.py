@@ -541,6 +541,40 @@ def test_pipeline(spark, sf):
     assert {r["doc_id"] for r in rows(corpus_pipeline.run(spark, sf))} == ids
 
 
+def test_pipeline_equals_plain_python(spark, sf, library):
+    """The five decisions one after the other, copies included.  Language models are the repository's, learned here from all rows they may learn from."""
+    import math
+    import zlib
+
+    import corpus_pipeline
+
+    docs = [r.asDict() for r in documents(spark, sf).collect()]
+    texts = defaultdict(list)
+    for r in docs:
+        if zlib.crc32(str(r["doc_id"]).encode()) % 5 and r["lang"] is not None and r["text"] is not None:
+            assert len(r["text"]) <= 20_000
+            texts[r["lang"]].append(r["text"])
+    models = language_id.LanguageModels({k: sorted(v) for k, v in texts.items()})
+    docs = [r for r, x in zip(docs, models.predict([r["text"] or "" for r in docs]), strict=True) if not x[3]]
+    last = {}
+    for r in docs:
+        last[r["text"]] = max(r["doc_id"], last.get(r["text"], r["doc_id"]))
+    docs = [r for r in docs if last[r["text"]] == r["doc_id"]]
+    least = {i: c for i, _, c in brute_components((r["doc_id"], brute_fingerprint(r["text"])) for r in docs)}
+    docs = [r for r in docs if least[r["doc_id"]] == r["doc_id"]]
+    n = Counter(r["source"] for r in docs)
+    want = Counter()
+    for r in docs:
+        rate = n[r["source"]] ** 0.5 / sum(x**0.5 for x in n.values()) * len(docs) / n[r["source"]]
+        u = (int(hashlib.md5(f"17:{r['doc_id']}".encode()).hexdigest()[:12], 16) + 0.5) / 2**48
+        copies = next(k for k in range(1000) if sum(math.exp(-rate) * rate**i / math.factorial(i) for i in range(k + 1)) >= u)
+        if copies:
+            want[(r["doc_id"], tuple(library.encode(r["text"])))] += copies
+    got = rows(corpus_pipeline.run(spark, sf))
+    assert Counter((r["doc_id"], tuple(r["ids"])) for r in got) == want and max(want.values()) > 1
+    assert all(r["round_trip"] for r in got)
+
+
 def test_pipeline_on_odd_rows(spark, odd, none):
     import corpus_pipeline
 
