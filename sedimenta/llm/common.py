@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
 
@@ -10,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: A side of a join is sent to every executor only when it has been counted and has at most this many narrow rows.
 BROADCAST_ROWS = 200_000
+#: The most bytes of keys that join_sized() sends to every executor, and the rows of one key below which it is never called hot.
+BROADCAST_BYTES, HOT_ROWS = 64 << 20, 64
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -19,6 +22,8 @@ def shared_dir(spark: SparkSession) -> str:
         at = spark.sparkContext.getCheckpointDir()
         if at:
             folder = at
+        elif not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is unset: executors need a folder that they share with the driver")
         else:
             folder = "file://" + tempfile.mkdtemp(prefix="sedimenta-")
             spark.sparkContext.setCheckpointDir(folder)
@@ -41,6 +46,36 @@ def narrow(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
+def join_sized(rows: DataFrame, groups: DataFrame, keys: list[str], total: int, key_bytes: int = 32, count: str = "n") -> DataFrame:
+    """Inner join of ``rows`` (``total`` of them or fewer) with ``groups``, which has one row for each key and in its column ``count`` the number of rows with that key.
+
+    At most ``room`` rows of groups are broadcast: all where rows are no more than that, else those of hot keys, which have over total / room rows, so that there
+    can't be more than ``room`` of them.  Other keys are joined by shuffling, with at most that many rows each.  ``groups`` should be stored, as it is read more than once.
+    """
+    room = min(BROADCAST_ROWS, BROADCAST_BYTES // (key_bytes + 32))
+    if total <= room:
+        return rows.join(F.broadcast(groups), keys)
+    most = max(HOT_ROWS, math.ceil(total / room)) if room else total
+    hot, cold = groups.where(F.col(count) > most), groups.where(F.col(count) <= most)
+    return rows.join(F.broadcast(hot), keys).unionByName(rows.join(F.broadcast(hot.select(keys)), keys, "left_anti").join(cold, keys))
+
+
+def with_row_ids(docs: DataFrame, id_col: str) -> tuple[DataFrame, str]:
+    """``docs`` and a column that tells its rows apart.
+
+    That is ``id_col`` where it is an integer column without nulls and repeats; else rows are written once to the shared folder with
+    a number each, as numbers made while reading could change when a lost task is run again.
+    """
+    if dict(docs.dtypes)[id_col] in ("bigint", "int"):
+        ids = docs.select(F.col(id_col).cast("long").alias("i"))
+        odd = ids.groupBy("i").count().where("i is null or count > 1")
+        if odd.isEmpty():
+            return docs, id_col
+    uid, path = free_name(docs, "row_id"), new_folder(docs.sparkSession, "rows")
+    docs.withColumn(uid, F.monotonically_increasing_id()).write.parquet(path)
+    return docs.sparkSession.read.parquet(path), uid
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """``name``, with underscores appended until ``df`` has no such column (case-insensitively)."""
     taken = {c.lower() for c in df.columns}
