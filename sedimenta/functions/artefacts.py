@@ -7,10 +7,13 @@ from pyspark.sql import functions as F
 
 from ..schemas import EMAIL_LIKE, PHONE_LIKE, URL_LIKE
 
-# The patterns of the three kinds, Unicode-aware as \b, \s and \d are elsewhere.
-URL = r"(?iU)\b(?:https?://|www\.)[^\s\x22'<>]+"
-EMAIL = r"(?iU)\b[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}\b"
-PHONE = r"(?U)\b\+?\d[\d\s().-]{6,}\d\b"
+# The patterns of the three kinds.  Letters count in both cases for the first two; \b, \s and \d are Unicode-aware but in the SQL of the queries.
+FORMS = {
+    "url": r"\b(?:https?://|www\.)[^\s\x22'<>]+",
+    "email": r"\b[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}\b",
+    "phone": r"\b\+?\d[\d\s().-]{6,}\d\b",
+}
+URL, EMAIL, PHONE = "(?iU)" + FORMS["url"], "(?iU)" + FORMS["email"], "(?U)" + FORMS["phone"]
 URL_TAIL = ".,;:)]}\"'><"
 
 

@@ -13,7 +13,8 @@ TABLES = ("urls", "visits", "moz_places", "moz_historyvisits", "cookies", "moz_c
 def read_sqlite_tables(files: DataFrame) -> DataFrame:
     """(source_file, tab, row) of every row of the known tables in ``files`` (source_file, data); row maps lower-case column names to text, without nulls.
 
-    Each file is opened read-only from a temporary copy in the task's own folder, which is deleted at once.  Files that are no database give no rows.
+    Each file is opened read-only from a temporary copy in the task's own folder, which is deleted at once.  A file that is no database, or is broken, gives the rows
+    read so far and a row of tab ``!error``.
     """
 
     def run(batches):
@@ -41,8 +42,8 @@ def read_sqlite_tables(files: DataFrame) -> DataFrame:
                                 for r in rows:
                                     out.append((source, tab, [(n, v.decode("utf-8", "replace") if isinstance(v, bytes) else str(v)) for n, v in zip(names, r, strict=True) if v is not None]))
                         db.close()
-                    except sqlite3.Error:
-                        pass
+                    except sqlite3.Error as e:
+                        out.append((source, "!error", [("error", f"{type(e).__name__}: {e}")]))
                 for i in range(0, len(out), 10_000):
                     cols = list(zip(*out[i : i + 10_000], strict=True))
                     yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), pa.array(cols[2], kind)], names=["source_file", "tab", "row"])

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import posixpath
+import struct
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,7 +15,7 @@ from ..schemas import CARVED
 from ..sources.evidence import open_evidence
 from .extents import RULES, Limits, View
 
-FOUND = "evidence string, file_type string, extension string, global_start long, size long, md5 string, sha256 string, validated boolean, truncated boolean, errors array<string>, pattern_id string"
+FOUND = "evidence string, file_type string, extension string, global_start long, size long, md5 string, sha256 string, validated boolean, truncated boolean, errors array<string>, pattern_id string, failed string"
 
 
 def limits_of(config: EngineConfig) -> dict[str, tuple[str, str, Limits]]:
@@ -53,8 +54,8 @@ def carve_one(view: View, file_type: str, start: int, rules: dict, hashes: bool
     return kind, extension, extent, md5.hexdigest(), sha.hexdigest()
 
 
-def carve(hits: DataFrame, config: EngineConfig, tasks: int | None = None) -> DataFrame:
-    """A row for each file that a hit begins.  A hit whose rule fails gives no row, and never ends the run."""
+def attempts(hits: DataFrame, config: EngineConfig, tasks: int | None = None) -> DataFrame:
+    """A row (of FOUND) for each file that a hit begins, and one for each hit whose rule or evidence fails, with the error in ``failed``; neither ever ends the run."""
     rules = limits_of(config)
 
     def run(batches):
@@ -67,17 +68,18 @@ def carve(hits: DataFrame, config: EngineConfig, tasks: int | None = None) -> Da
                 for evidence, at, kind, pattern in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                     if kind not in rules:
                         continue
-                    if evidence not in opened:
-                        opened[evidence] = View(*open_evidence(evidence))
                     try:
+                        if evidence not in opened:
+                            opened[evidence] = View(*open_evidence(evidence))
                         got = carve_one(opened[evidence], kind, at, rules)
-                    except (OSError, ValueError, IndexError, KeyError):
+                    except (OSError, ValueError, IndexError, KeyError, struct.error) as e:
+                        rows.append((evidence, kind, None, at, None, None, None, None, None, None, pattern, f"{type(e).__name__}: {e}"))
                         continue
                     if got:
                         name, ext, x, md5, sha = got
-                        rows.append((evidence, name, ext, x.start, x.size, md5, sha, x.validated, x.truncated, x.errors, pattern))
-                cols = list(zip(*rows, strict=True)) or [[]] * 11
-                kinds = (pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.bool_(), pa.bool_(), pa.list_(pa.string()), pa.string())
+                        rows.append((evidence, name, ext, x.start, x.size, md5, sha, x.validated, x.truncated, x.errors, pattern, None))
+                cols = list(zip(*rows, strict=True)) or [[]] * 12
+                kinds = (pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.bool_(), pa.bool_(), pa.list_(pa.string()), pa.string(), pa.string())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=[x.split(" ")[0] for x in FOUND.split(", ")])
         finally:
             for view in opened.values():
@@ -86,13 +88,22 @@ def carve(hits: DataFrame, config: EngineConfig, tasks: int | None = None) -> Da
     hits = hits.select("evidence", "global_offset", "file_type", "pattern_id")
     if tasks:
         hits = hits.repartitionByRange(tasks, "evidence", "global_offset")
-    found = hits.mapInArrow(run, FOUND)
-    found = found.withColumn("path", carved_path(F.col("file_type"), F.col("global_start"), F.col("extension"))).withColumn("global_end", global_end(F.col("global_start"), F.col("size")))
+    return hits.mapInArrow(run, FOUND)
+
+
+def carved_files(found: DataFrame, config: EngineConfig) -> DataFrame:
+    """The carved files of attempts(), with their paths."""
+    found = found.where("failed is null").withColumn("path", carved_path(F.col("file_type"), F.col("global_start"), F.col("extension"))).withColumn("global_end", global_end(F.col("global_start"), F.col("size")))
     if config.only_validated:
         found = found.where("validated")
     return found.select(*(x.split(" ")[0] for x in CARVED.split(", ")))
 
 
+def carve(hits: DataFrame, config: EngineConfig, tasks: int | None = None) -> DataFrame:
+    """A row for each file that a hit begins.  A hit whose rule fails gives no row."""
+    return carved_files(attempts(hits, config, tasks), config)
+
+
 def materialise(carved: DataFrame, folder: str) -> DataFrame:
     """Writes each carved file to folder/path, under a temporary name first, and returns (path, size)."""
 

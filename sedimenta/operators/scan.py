@@ -10,29 +10,42 @@ import re
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..schemas import ARTEFACT, EMAIL_LIKE, HIT, PHONE_LIKE, SPAN, URL_LIKE, UTF8, UTF16_BE, UTF16_LE
+from ..functions.artefacts import FORMS, URL_TAIL
+from ..schemas import ARTEFACT, EMAIL_LIKE, HIT, PHONE_LIKE, SCANNED, SPAN, URL_LIKE, UTF8, UTF16_BE, UTF16_LE
 
 COLUMNS = ("evidence", "chunk_id", "start", "valid_length", "data")
 
 
-def find_hits(chunks: DataFrame, patterns: list[tuple[str, str, bytes]]) -> DataFrame:
-    """Every place of every pattern (file type, pattern id, bytes), overlapping ones too."""
+def _table(schema: str, per_chunk, chunks: DataFrame) -> DataFrame:
+    """Rows of ``schema`` that ``per_chunk`` makes of each chunk (evidence, chunk_id, start, valid_length, data)."""
 
     def run(batches):
+        from itertools import islice
+
         import pyarrow as pa
 
+        kinds = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "double": pa.float64()}
+        fields = [x.split(" ") for x in schema.split(", ")]
         for batch in batches:
-            out: list = [[], [], [], [], []]
-            for evidence, chunk, start, valid, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                for kind, name, pattern in patterns:
-                    at = data.find(pattern)
-                    while 0 <= at < valid:
-                        for c, v in zip(out, (evidence, chunk, start + at, kind, name), strict=True):
-                            c.append(v)
-                        at = data.find(pattern, at + 1)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)], names=[x.split(" ")[0] for x in HIT.split(", ")])
+            for chunk in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                rows = iter(per_chunk(*chunk))
+                while part := list(islice(rows, 50_000)):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(zip(*part, strict=True), fields, strict=True)], names=[n for n, _ in fields])
+
+    return chunks.select(*COLUMNS).mapInArrow(run, schema)
 
-    return chunks.select(*COLUMNS).mapInArrow(run, HIT)
+
+def chunk_hits(patterns, evidence, chunk, start, valid, data):
+    for kind, name, pattern in patterns:
+        at = data.find(pattern)
+        while 0 <= at < valid:
+            yield evidence, chunk, start + at, kind, name
+            at = data.find(pattern, at + 1)
+
+
+def find_hits(chunks: DataFrame, patterns: list[tuple[str, str, bytes]]) -> DataFrame:
+    """Every place of every pattern (file type, pattern id, bytes), overlapping ones too."""
+    return _table(HIT, lambda *chunk: chunk_hits(patterns, *chunk), chunks)
 
 
 def span_patterns(least: int, most: int, utf16: bool) -> list[tuple[int, re.Pattern]]:
@@ -76,23 +89,10 @@ def _spans(data: bytes, valid: int, patterns):
 def find_spans(chunks: DataFrame, least: int = 6, most: int = 1024, utf16: bool = False) -> DataFrame:
     """Printable runs that begin in the chunk's own part: ASCII, UTF-8 with other characters, and UTF-16 of ASCII in both orders."""
     patterns = span_patterns(least, most, utf16)
-
-    def run(batches):
-        import pyarrow as pa
-
-        for batch in batches:
-            rows = [(e, k, at, len(text), flags) for e, k, _, valid, data in zip(*(c.to_pylist() for c in batch.columns), strict=True) for at, text, flags in _spans(data, valid, patterns)]
-            cols = list(zip(*rows, strict=True)) or [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], names=[x.split(" ")[0] for x in SPAN.split(", ")])
-
-    return chunks.select(*COLUMNS).mapInArrow(run, SPAN)
+    return _table(SPAN, lambda e, k, _, valid, data: ((e, k, at, len(text), flags) for at, text, flags in _spans(data, valid, patterns)), chunks)
 
 
-TEXT_PATTERNS = (
-    ("url", URL_LIKE, re.compile(r"(?i)\b(?:https?://|www\.)[^\s\"'<>]+")),
-    ("email", EMAIL_LIKE, re.compile(r"(?i)\b[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}\b")),
-    ("phone", PHONE_LIKE, re.compile(r"\b\+?\d[\d\s().-]{6,}\d\b")),
-)
+TEXT_PATTERNS = tuple((kind, bit, re.compile(FORMS[kind], flags)) for kind, bit, flags in (("url", URL_LIKE, re.I), ("email", EMAIL_LIKE, re.I), ("phone", PHONE_LIKE, 0)))
 
 
 def _host_ok(host: str) -> bool:
@@ -104,7 +104,7 @@ def plausible(kind: str, raw: str) -> str | None:
     if kind == "phone":
         digits = [c for c in raw if c in "0123456789"]
         return raw if 10 <= len(digits) <= 15 and len(set(digits)) >= 4 else None
-    text = raw.rstrip(".,;:)]}\"'><")
+    text = raw.rstrip(URL_TAIL)
     n = len(text.encode())
     if kind == "url":
         host = re.sub("(?i)^https?://", "", text).split("/")[0].split(":")[0]
@@ -114,56 +114,81 @@ def plausible(kind: str, raw: str) -> str | None:
     return text if ok else None
 
 
+def span_artefacts(evidence, start, at, raw, flags, kinds, compat=False):
+    """Artefacts of one run.  If hints are set, only the hinted kinds are looked for."""
+    text, encoding, width = decode_span(raw, flags)
+    hints = flags & (URL_LIKE | EMAIL_LIKE | PHONE_LIKE)
+    for kind, bit, pattern in TEXT_PATTERNS:
+        if kind in kinds and (not hints or hints & bit):
+            for m in pattern.finditer(text):
+                content = plausible(kind, m[0])
+                if content is not None:
+                    wide = width == 2 and not compat
+                    first = start + at + (2 * m.start() if wide else len(text[: m.start()].encode()))
+                    size = 2 * len(content) if wide else len(content.encode())
+                    yield evidence, kind, content, encoding, first, first + max(0, size - 1)
+
+
 def find_artefacts(chunks: DataFrame, least: int = 6, most: int = 1024, utf16: bool = False, kinds=("url", "email", "phone"), compat: bool = False) -> DataFrame:
-    """Artefacts in printable runs, with the place of their bytes.  If hints are set, only the hinted kinds are looked for.
+    """Artefacts in printable runs, with the place of their bytes.
 
     ``compat``: places in UTF-16 runs count a byte a character, as older outputs do.
     """
     patterns = span_patterns(least, most, utf16)
 
-    def run(batches):
-        import pyarrow as pa
+    def per_chunk(evidence, _, start, valid, data):
+        for at, raw, flags in _spans(data, valid, patterns):
+            yield from span_artefacts(evidence, start, at, raw, flags, kinds, compat)
 
-        for batch in batches:
-            rows = []
-            for evidence, _, start, valid, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                for at, raw, flags in _spans(data, valid, patterns):
-                    text, encoding, width = decode_span(raw, flags)
-                    hints = flags & (URL_LIKE | EMAIL_LIKE | PHONE_LIKE)
-                    for kind, bit, pattern in TEXT_PATTERNS:
-                        if kind in kinds and (not hints or hints & bit):
-                            for m in pattern.finditer(text):
-                                content = plausible(kind, m[0])
-                                if content is not None:
-                                    wide = width == 2 and not compat
-                                    first = start + at + (2 * m.start() if wide else len(text[: m.start()].encode()))
-                                    size = 2 * len(content) if wide else len(content.encode())
-                                    rows.append((evidence, kind, content, encoding, first, first + max(0, size - 1)))
-            cols = list(zip(*rows, strict=True)) or [[]] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(),) * 4 + (pa.int64(),) * 2, strict=True)], names=[x.split(" ")[0] for x in ARTEFACT.split(", ")])
-
-    return chunks.select(*COLUMNS).mapInArrow(run, ARTEFACT)
+    return _table(ARTEFACT, per_chunk, chunks)
 
 
-def entropy_windows(chunks: DataFrame, window: int = 4096) -> DataFrame:
-    """(evidence, chunk_id, chunk_start, w, entropy) of each whole window of a chunk's own part: Shannon entropy in bits."""
+def chunk_entropy(window: int, valid: int, data: bytes):
+    """Shannon entropy in bits of each whole window of the chunk's own part, in blocks of about 16 MiB of counts."""
+    import numpy as np
 
-    def run(batches):
-        import numpy as np
-        import pyarrow as pa
+    n, block = min(valid, len(data)) // window, 8192
+    for w in range(0, n, block):
+        k = min(block, n - w)
+        bytes_ = np.frombuffer(data, "uint8", k * window, w * window).astype("int64").reshape(k, window)
+        p = np.bincount((bytes_ + 256 * np.arange(k)[:, None]).ravel(), minlength=256 * k).reshape(k, 256) / window
+        yield from enumerate((-(p * np.log2(p, where=p > 0, out=np.zeros_like(p))).sum(1)).tolist(), w)
 
-        for batch in batches:
-            out: list = [[], [], [], [], []]
-            for evidence, chunk, start, valid, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                n = min(valid, len(data)) // window
-                for w in range(n):
-                    c = np.bincount(np.frombuffer(data, "uint8", window, w * window), minlength=256)
-                    p = c[c > 0] / window
-                    for col, v in zip(out, (evidence, chunk, start, w, float(-(p * np.log2(p)).sum())), strict=True):
-                        col.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["evidence", "chunk_id", "chunk_start", "w", "entropy"])
-
-    return chunks.select(*COLUMNS).mapInArrow(run, "evidence string, chunk_id long, chunk_start long, w long, entropy double")
+
+def entropy_windows(chunks: DataFrame, window: int = 4096) -> DataFrame:
+    """(evidence, chunk_id, chunk_start, w, entropy) of each whole window of a chunk's own part."""
+    return _table("evidence string, chunk_id long, chunk_start long, w long, entropy double", lambda e, k, start, valid, data: ((e, k, start, w, x) for w, x in chunk_entropy(window, valid, data)), chunks)
+
+
+def scan_once(chunks: DataFrame, patterns, strings: tuple[int, int, bool] | None = None, kinds=(), window: int | None = None) -> DataFrame:
+    """All that a run needs of the chunks, in one pass over the evidence: rows of SCANNED, told apart by ``what``: chunk, hit, span, artefact, window."""
+    runs = span_patterns(*strings) if strings else []
+
+    def per_chunk(evidence, chunk, start, valid, data):
+        yield "chunk", evidence, chunk, start, len(data), None, None, None, None
+        for _, _, at, kind, name in chunk_hits(patterns, evidence, chunk, start, valid, data):
+            yield "hit", evidence, chunk, at, None, kind, name, None, None
+        for at, raw, flags in _spans(data, valid, runs):
+            yield "span", evidence, chunk, at, len(raw), None, str(flags), None, None
+            for _, kind, content, encoding, first, last in span_artefacts(evidence, start, at, raw, flags, kinds):
+                yield "artefact", evidence, chunk, first, last, kind, encoding, content, None
+        if window:
+            for w, x in chunk_entropy(window, valid, data):
+                yield "window", evidence, chunk, start, w, None, None, None, x
+
+    return _table(SCANNED, per_chunk, chunks)
+
+
+def scanned(rows: DataFrame, what: str) -> DataFrame:
+    """One kind of scan_once()'s rows, in the columns of the operator that finds it alone."""
+    columns = {
+        "chunk": ("evidence", "chunk_id", "a as start", "b as length"),
+        "hit": ("evidence", "chunk_id", "a as global_offset", "name as file_type", "detail as pattern_id"),
+        "span": ("evidence", "chunk_id", "a as local_start", "int(b) as length", "int(detail) as flags"),
+        "artefact": ("evidence", "name as kind", "text as content", "detail as encoding", "a as global_start", "b as global_end"),
+        "window": ("evidence", "chunk_id", "a as chunk_start", "b as w", "value as entropy"),
+    }
+    return rows.where(F.col("what") == what).selectExpr(*columns[what])
 
 
 def entropy_regions(windows: DataFrame, window: int, threshold: float, across_chunks: bool = False, chunk: int = 0) -> DataFrame:

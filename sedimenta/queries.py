@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
+import hashlib
+import os
 import uuid
+from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import samples
 from .config import EngineConfig
 from .functions import artefacts as A
 from .functions import naming as N
-from .operators import browser, limits, scan, sqlite_pages
+from .operators import browser, carve, limits, scan, sqlite_pages
 from .sources import evidence, sinks
 
 QUERIES: dict = {}
@@ -41,11 +44,8 @@ def document_chunks(spark, sf, chunk=4096, overlap=16):
 
 # artefacts
 
-EXTRACT = {
-    "url": r"(?i)\b(?:https?://|www\.)[^\s\x22''<>]+",
-    "email": r"(?i)\b[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}\b",
-    "phone": r"\b\+?\d[\d\s().-]{6,}\d\b",
-}
+#: The forms as SQL text.
+EXTRACT = {k: ("" if k == "phone" else "(?i)") + v.replace("'", "''") for k, v in A.FORMS.items()}
 URL_OK = "octet_length(encode(u)) BETWEEN 8 AND 2048 AND contains(host, '.') AND octet_length(encode(host)) <= 253 AND len(list_filter(string_split(host, '.'), lambda x: octet_length(encode(x)) NOT BETWEEN 1 AND 63)) = 0"
 URLS_SQL = rf"""
 WITH t AS (SELECT page_id, html AS x FROM pages UNION ALL SELECT page_id, url FROM pages),
@@ -96,7 +96,8 @@ def artefact_phones(spark, sf):
 
 @query(rf"""
 SELECT page_id, url, CASE WHEN starts_with(url, 'https://') THEN 'https' WHEN starts_with(url, 'http://') OR starts_with(url, 'www.') THEN 'http' END AS scheme,
-    split_part(split_part(split_part(regexp_replace(url, '^https?://', ''), '#', 1), '?', 1), '/', 1) AS host,
+    regexp_replace(split_part(split_part(split_part(regexp_replace(url, '^https?://', ''), '#', 1), '?', 1), '/', 1), ':[0-9]{1,5}$', '') AS host,
+    try_cast(nullif(regexp_extract(split_part(split_part(split_part(regexp_replace(url, '^https?://', ''), '#', 1), '?', 1), '/', 1), ':([0-9]{1,5})$', 1), '') AS INTEGER) AS port,
     nullif(regexp_extract(split_part(split_part(regexp_replace(url, '^https?://', ''), '#', 1), '?', 1), '/.*$'), '') AS path,
     CASE WHEN contains(split_part(url, '#', 1), '?') THEN regexp_extract(split_part(url, '#', 1), '\?(.*)$', 1) END AS query,
     CASE WHEN contains(url, '#') THEN regexp_extract(url, '#(.*)$', 1) END AS fragment
@@ -104,7 +105,7 @@ FROM pages
 """)
 def url_components(spark, sf):
     parts = A.url_parts(F.col("url"))
-    return table(spark, sf, "pages").select("page_id", "url", *(parts[k].alias(k) for k in ("scheme", "host", "path", "query", "fragment")))
+    return table(spark, sf, "pages").select("page_id", "url", *(parts[k].alias(k) for k in ("scheme", "host", "port", "path", "query", "fragment")))
 
 
 @query("""
@@ -170,7 +171,12 @@ def signature_hits(spark, sf):
     return hits.select(F.col("evidence").cast("long").alias("doc_id"), "pattern_id", "global_offset")
 
 
-@query()
+@query("""
+WITH r AS (SELECT 'nn' AS pattern_id, sum(list_sum(list_transform(regexp_extract_all(text, 'n{2,}'), lambda x: length(x) - 1))) AS n FROM documents
+UNION ALL SELECT 'hah', sum(list_sum(list_transform(regexp_extract_all(text, 'h(?:ah)+'), lambda x: (length(x) - 1) // 2))) FROM documents
+UNION ALL SELECT 'th', sum(len(string_split(text, 'Th')) - 1) FROM documents UNION ALL SELECT 'a_umlaut', sum(len(string_split(text, 'ä')) - 1) FROM documents)
+SELECT pattern_id, n::BIGINT AS n FROM r WHERE n > 0
+""")
 def signature_hits_overlapping(spark, sf):
     """Overlapping matches are all kept."""
     return scan.find_hits(document_chunks(spark, sf), DEMO).groupBy("pattern_id").agg(F.count(F.lit(1)).alias("n"))
@@ -182,19 +188,83 @@ def hash_inventory(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.octet_length("text").cast("long").alias("size"), F.md5(data).alias("md5"), F.sha2(data, 256).alias("sha256"))
 
 
-@query("SELECT doc_id, unnest(regexp_extract_all(text, '[\\t\\x20-\\x7E]{6,1000}')) AS run FROM documents")
+HEADERS = [*EngineConfig().patterns(), ("markup", "paragraph", b"<p"), ("markup", "heading", b"<h1>")]
+HEADERS_SQL = ", ".join(f"('{kind}', '{name}', '{header.decode()}')" for kind, name, header in HEADERS if header.isascii() and header.decode().isprintable() and b"'" not in header)
+
+
+@query(f"""
+WITH p AS (SELECT * FROM (VALUES {HEADERS_SQL}) v(file_type, pattern_id, pattern)),
+s AS (SELECT page_id, file_type, pattern_id, pattern, string_split(html, pattern) AS parts FROM pages, p),
+l AS (SELECT page_id, file_type, pattern_id, pattern, unnest(parts) AS part, generate_subscripts(parts, 1) AS i, len(parts) AS n FROM s),
+o AS (SELECT *, sum(strlen(part)) OVER (PARTITION BY page_id, file_type, pattern_id ORDER BY i) + (i - 1) * strlen(pattern) AS place FROM l)
+SELECT page_id, file_type, pattern_id, place::BIGINT AS global_offset FROM o WHERE i < n
+""")
+def header_hits(spark, sf):
+    """All 44 headers and two of markup over whole pages, by the run's own single pass; headers that are no printable text don't occur in text."""
+    chunks = evidence.chunks_of_column(table(spark, sf, "pages"), "page_id", "encode(html, 'UTF-8')", 4096, 64)
+    hits = scan.scanned(scan.scan_once(chunks, HEADERS), "hit")
+    return hits.select(F.col("evidence").cast("long").alias("page_id"), "file_type", "pattern_id", "global_offset")
+
+
+ASCII_RUN, UTF8_RUN = r"[\t\x20-\x7E]{6,}", r"[\t\x20-\x7E\x{A0}-\x{10FFFF}]{6,}"
+
+
+def runs_sql(source: str, key: str, text: str) -> str:
+    """(key, encoding, begins, run): printable runs of a text with their places in bytes; UTF-8 ones only with another character."""
+    one = lambda kind, form, where: f"""
+SELECT {key}, '{kind}' AS encoding, (sum(strlen(gap)) OVER w + coalesce(sum(strlen(run)) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS begins, run
+FROM (SELECT {key}, unnest(string_split_regex({text}, '{form}')) AS gap, unnest(list_append(regexp_extract_all({text}, '{form}'), NULL)) AS run, unnest(range(0, len(regexp_extract_all({text}, '{form}')) + 1)) AS i FROM {source} WHERE {text} IS NOT NULL)
+WINDOW w AS (PARTITION BY {key} ORDER BY i) QUALIFY run IS NOT NULL {where}"""
+    return f"({one('ascii', ASCII_RUN, '')}) UNION ALL ({one('utf-8', UTF8_RUN, 'AND strlen(run) > length(run)')})"
+
+
+WHOLE, ENDLESS = 1 << 30, 1 << 30
+
+
+@query(f"SELECT doc_id, run FROM ({runs_sql('documents', 'doc_id', 'text')}) WHERE encoding = 'ascii'")
 def ascii_runs(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(r"[\t\x20-\x7E]{6,1000}"), F.lit(0))).alias("run"))
+    """ASCII runs by the scan, and their bytes."""
+    spans = scan.find_spans(document_chunks(spark, sf, WHOLE, 0), 6, ENDLESS).where(F.col("flags") % 8 == 0)
+    text = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("evidence"), "doc_id", F.encode("text", "UTF-8").alias("data"))
+    return spans.join(text, "evidence").select("doc_id", F.decode(F.expr("substring(data, int(local_start) + 1, length)"), "UTF-8").alias("run"))
+
+
+HINTS = "(CASE WHEN contains(lower(run), 'http') OR contains(lower(run), 'www.') THEN 16 ELSE 0 END + CASE WHEN contains(run, '@') THEN 32 ELSE 0 END + CASE WHEN length(regexp_replace(run, '[^0-9]', '', 'g')) >= 10 THEN 64 ELSE 0 END)"
 
 
-@query()
+@query(f"SELECT doc_id, begins AS local_start, strlen(run)::INTEGER AS length, (CASE encoding WHEN 'utf-8' THEN 4 ELSE 0 END + {HINTS})::INTEGER AS flags FROM ({runs_sql('documents', 'doc_id', 'text')})")
 def string_spans(spark, sf):
-    return scan.find_spans(document_chunks(spark, sf), 6, 1024, True)
+    """Runs of whole documents with their hints."""
+    spans = scan.find_spans(document_chunks(spark, sf, WHOLE, 0), 6, ENDLESS, True)
+    return spans.select(F.col("evidence").cast("long").alias("doc_id"), "local_start", "length", "flags")
 
 
-@query()
+def placed_sql(kind: str, bit: int, good: str) -> str:
+    form = EXTRACT[kind]
+    return f"""
+SELECT page_id, '{kind}' AS kind, content, encoding, begins + place AS global_start, begins + place + strlen(content) - 1 AS global_end FROM (
+    SELECT page_id, encoding, begins, (sum(strlen(gap)) OVER v + coalesce(sum(strlen(raw)) OVER (v ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS place, raw, {"raw" if kind == "phone" else "rtrim(raw, '.,;:)]}" + chr(34) + "''><')"} AS content
+    FROM (SELECT page_id, encoding, begins, unnest(string_split_regex(run, '{form}')) AS gap, unnest(list_append(regexp_extract_all(run, '{form}'), NULL)) AS raw, unnest(range(0, len(regexp_extract_all(run, '{form}')) + 1)) AS k FROM r WHERE hints = 0 OR hints & {bit} <> 0)
+    WINDOW v AS (PARTITION BY page_id, encoding, begins ORDER BY k) QUALIFY raw IS NOT NULL)
+WHERE {good}"""
+
+
+LABELS = "len(list_filter(string_split({0}, '.'), lambda x: strlen(x) NOT BETWEEN 1 AND 63)) = 0 AND contains({0}, '.') AND strlen({0}) <= 253"
+HOST, DOMAIN = "split_part(split_part(regexp_replace(content, '(?i)^https?://', ''), '/', 1), ':', 1)", "split_part(content, '@', -1)"
+
+
+@query(f"""
+WITH r AS (SELECT *, {HINTS} AS hints FROM ({runs_sql('pages', 'page_id', 'html')})),
+a AS ({placed_sql("url", 16, "strlen(content) BETWEEN 8 AND 2048 AND " + LABELS.format(HOST))}
+UNION ALL {placed_sql("email", 32, "strlen(content) BETWEEN 6 AND 254 AND strlen(split_part(content, '@', 1)) BETWEEN 1 AND 64 AND regexp_matches(" + DOMAIN + ", '[A-Za-z]') AND " + LABELS.format(DOMAIN))}
+UNION ALL {placed_sql("phone", 64, "length(regexp_replace(content, '[^0-9]', '', 'g')) BETWEEN 10 AND 15 AND len(list_distinct(regexp_extract_all(regexp_replace(content, '[^0-9]', '', 'g'), '.'))) >= 4")})
+SELECT page_id, kind, content, encoding, global_start, global_end::BIGINT AS global_end FROM a
+""")
 def placed_artefacts(spark, sf):
-    return scan.find_artefacts(evidence.chunks_of_column(table(spark, sf, "pages"), "page_id", "encode(html, 'UTF-8')", 1 << 20, 4096))
+    """Artefacts of pages with their places, by the run's own single pass."""
+    chunks = evidence.chunks_of_column(table(spark, sf, "pages"), "page_id", "encode(html, 'UTF-8')", WHOLE, 0)
+    found = scan.scanned(scan.scan_once(chunks, [], (6, ENDLESS, False), ("url", "email", "phone")), "artefact")
+    return found.select(F.col("evidence").cast("long").alias("page_id"), "kind", "content", "encoding", "global_start", "global_end")
 
 
 # entropy
@@ -369,7 +439,7 @@ def first_files(spark, sf):
 
 @query(f"""
 WITH n AS (SELECT strlen(text) AS n FROM documents)
-SELECT sum(n)::BIGINT AS bytes_scanned, count(*) AS chunks, (SELECT count(*) FROM ({HITS_SQL})) AS hits, 0::BIGINT AS files, (SELECT count(*) FROM documents WHERE length(text) > 3) AS spans, (SELECT count(*) FROM ({PHONES_SQL})) AS artefacts FROM n WHERE n > 0
+SELECT sum(n)::BIGINT AS bytes_scanned, count(*) AS chunks, (SELECT count(*) FROM ({HITS_SQL})) AS hits, 0::BIGINT AS files, (SELECT count(*) FROM documents WHERE length(text) > 3) AS spans, (SELECT count(*) FROM ({PHONES_SQL})) AS artefacts, 0::BIGINT AS errors FROM n WHERE n > 0
 """)
 def run_summary(spark, sf):
     chunks = document_chunks(spark, sf, 1 << 30, 0)
@@ -383,16 +453,25 @@ def file_categories(spark, sf):
     return r.select(sinks.file_category(F.col("t")).alias("category"), "r_regionkey")
 
 
-@query()
+def image_sql() -> str:
+    """What the synthetic image holds, from its layout: the files laid in it; the later frames and pages inside of them, where a file can begin too; and a header without a known end, which
+    takes the rest."""
+    data, places = samples.image()
+    found = [(name.split(".")[0], at, len(content)) for name, (at, content) in places.items()]
+    mp3, ogg, gz = places["mp3"], places["ogg"], places["gzip"]
+    found += [("mp3", mp3[0] + k, len(mp3[1]) - k) for k in (30, 30 + 417)]
+    page = ogg[1].index(b"OggS", 1)
+    found += [("ogg", ogg[0] + page, len(ogg[1]) - page), ("gzip", gz[0] + len(gz[1]), len(data) - gz[0] - len(gz[1]))]
+    row = lambda kind, at, n: f"('{kind}', {at}, {at + n - 1}, {n}, '{hashlib.md5(data[at : at + n], usedforsecurity=False).hexdigest()}', '{hashlib.sha256(data[at : at + n]).hexdigest()}')"
+    return f"SELECT file_type, global_start::BIGINT AS global_start, global_end::BIGINT AS global_end, size::BIGINT AS size, md5, sha256, true AS validated FROM (VALUES {', '.join(row(*x) for x in found)}) v(file_type, global_start, global_end, size, md5, sha256)"
+
+
+@query(image_sql())
 def carved_image(spark, sf):
     """A synthetic image with a file of every format, carved and hashed."""
     from pyarrow import fs
 
-    from . import samples
-    from .operators import carve
-
-    # executors read the image too: it goes to the folder that they share, a temporary one only where none is set
-    folder = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp()
+    folder = sinks.work_folder(spark)  # executors read the image too
     filesystem, root = fs.FileSystem.from_uri(folder)
     name = f"image-{uuid.uuid4().hex}.raw"
     filesystem.create_dir(root, recursive=True)
@@ -401,22 +480,26 @@ def carved_image(spark, sf):
     path = f"{folder.rstrip('/')}/{name}"
     config = EngineConfig(chunk_size=256 << 10, overlap=64)
     chunks = evidence.read_evidence(spark, path, config.chunk_size, config.overlap)
-    return carve.carve(scan.find_hits(chunks, config.patterns()), config, 8).drop("evidence")
+    files = carve.carve(scan.scanned(scan.scan_once(chunks, config.patterns()), "hit"), config, 8)
+    return files.select("file_type", "global_start", "global_end", "size", "md5", "sha256", "validated")
 
 
-@query()
+@query("""
+SELECT 'sqlite_page' AS browser, 'unknown' AS profile, 'https://site' || i || '.example.com/page' AS url, 'Title ' || i || ' of a page' AS title,
+    make_timestamp(13303449600000000 - 11644473600000000 + i) AS visit_time, 'page_scan' AS visit_source, 'a.sqlite' AS source_file FROM (SELECT unnest(range(0, 20)) AS i)
+UNION ALL SELECT 'sqlite_page', 'unknown', 'https://long.example.com/', NULL, NULL, 'page_scan', 'a.sqlite'
+""")
 def recovered_history(spark, sf):
     """History from the pages of a SQLite file, beside what the database tells."""
-    from . import samples
-
     files = spark.createDataFrame([("a.sqlite", samples.history_db()), ("b.sqlite", b"broken")], "source_file string, data binary")
-    from datetime import datetime, timezone
-
     return sqlite_pages.recover_history(files, None, datetime(2026, 1, 1, tzinfo=timezone.utc))
 
 
-def entry(spark: SparkSession) -> DataFrame:
-    """The flagship: URLs with their parts."""
+SMALLEST = "/root/testdata/sf0.001"
+
+
+def entry(spark: SparkSession, sf: str | None = None) -> DataFrame:
+    """The flagship: URLs with their parts; of the smallest tables if no folder is given."""
     parts = A.url_parts(F.col("url"))
-    out = artefact_urls(spark, "/root/testdata/sf0.001")
+    out = artefact_urls(spark, sf or os.environ.get("SEDIMENTA_TABLES", SMALLEST))
     return out.select("page_id", "url", *(parts[k].alias(k) for k in ("scheme", "host", "port", "path", "query", "fragment")))

@@ -11,7 +11,8 @@ HISTORY = "browser string, profile string, url string, title string, visit_time
 COOKIE = "browser string, profile string, host string, name string, value string, path string, expires timestamp_ntz, last_access timestamp_ntz, created timestamp_ntz, secure boolean, http_only boolean, source_file string"
 DOWNLOAD = "browser string, profile string, url string, target string, started timestamp_ntz, ended timestamp_ntz, total_bytes long, state string, source_file string"
 ENTROPY = "evidence string, start long, end long, entropy double, window_size long"
-SUMMARY = "bytes_scanned long, chunks long, hits long, files long, spans long, artefacts long"
+SUMMARY = "bytes_scanned long, chunks long, hits long, files long, spans long, artefacts long, errors long"
+SCANNED = "what string, evidence string, chunk_id long, a long, b long, name string, detail string, text string, value double"
 
 # Bits of a span's flags.
 UTF16_LE, UTF16_BE, UTF8, URL_LIKE, EMAIL_LIKE, PHONE_LIKE = 1, 2, 4, 16, 32, 64

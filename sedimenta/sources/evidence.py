@@ -61,8 +61,30 @@ def plan_chunks(evidence: DataFrame, chunk: int, overlap: int) -> DataFrame:
 def chunks_of_column(df: DataFrame, id_col: str, data: str, chunk: int, overlap: int) -> DataFrame:
     """A table's byte column (an expression) as chunk rows with data; evidence is the row's id."""
     rows = df.select(F.col(id_col).cast("string").alias("evidence"), F.expr(data).alias("all")).withColumn("total", F.length("all").cast("long"))
-    rows = plan_chunks(rows, chunk, overlap)
-    return rows.select("evidence", "chunk_id", "start", "length", "valid_length", F.substring("all", F.col("start").cast("int") + 1, F.col("length").cast("int")).alias("data"))
+    if chunk <= 0:
+        return plan_chunks(rows, chunk, overlap).select("evidence", "chunk_id", "start", "length", "valid_length", F.col("all").alias("data"))
+    # slices first, then rows: exploding numbers would copy the whole value to every chunk
+    left = lambda k: F.col("total") - k * F.lit(chunk)
+    slices = F.transform(
+        F.sequence(F.lit(0).cast("long"), F.floor((F.col("total") - 1) / chunk)),
+        lambda k: F.struct(k.alias("chunk_id"), (k * F.lit(chunk)).alias("start"), F.least(left(k), F.lit(chunk + overlap).cast("long")).alias("length"), F.least(left(k), F.lit(chunk).cast("long")).alias("valid_length"), F.substring("all", (k * F.lit(chunk)).cast("int") + 1, F.least(left(k), F.lit(chunk + overlap).cast("long")).cast("int")).alias("data")),
+    )
+    return rows.where("total > 0").select("evidence", F.explode(slices).alias("c")).select("evidence", "c.*")
+
+
+def planned(size: int, chunk: int, overlap: int, resume_at: int = 0, max_chunks: int | None = None, max_bytes: int | None = None) -> list[tuple[int, int, int, int]]:
+    """The chunks of one evidence that a run reads: from ``resume_at`` on, of the first ``max_chunks``, and as many as ``max_bytes`` bytes allow (overlaps count), the last one shortened."""
+    out, left = [], max_bytes
+    for k, start, length, valid in chunk_rows(size, chunk, overlap):
+        if start < resume_at or max_chunks is not None and k >= max_chunks:
+            continue
+        if left is not None:
+            if left <= 0:
+                break
+            length, valid = min(length, left), min(valid, left)
+            left -= length
+        out.append((k, start, length, valid))
+    return out
 
 
 class ChunkPartition(InputPartition):
@@ -74,7 +96,8 @@ class EvidenceReader(DataSourceReader):
     def __init__(self, options):
         self.path = options["path"]
         self.chunk, self.overlap = int(options.get("chunk_size", 64 << 20)), int(options.get("overlap", 64 << 10))
-        self.resume, self.most = int(options.get("resume_at", 0)), options.get("max_chunks")
+        self.resume = int(options.get("resume_at", 0))
+        self.max_chunks, self.max_bytes = (int(options[k]) if k in options else None for k in ("max_chunks", "max_bytes"))
 
     def partitions(self):
         paths = self.path.split(",")
@@ -82,9 +105,7 @@ class EvidenceReader(DataSourceReader):
         for path in paths:
             stream, size = open_evidence(path)
             stream.close()
-            rows = chunk_rows(size, self.chunk, self.overlap)
-            rows = [r for r in rows if r[1] >= self.resume and (self.most is None or r[0] < int(self.most))]
-            out += [ChunkPartition(path, r) for r in rows]
+            out += [ChunkPartition(path, r) for r in planned(size, self.chunk, self.overlap, self.resume, self.max_chunks, self.max_bytes)]
         return out
 
     def read(self, partition):
@@ -101,7 +122,7 @@ class EvidenceReader(DataSourceReader):
 
 
 class EvidenceSource(DataSource):
-    """format("evidence"): a partition for each chunk.  Options: path (several with commas), chunk_size, overlap, resume_at, max_chunks."""
+    """format("evidence"): a partition for each chunk.  Options: path (several with commas), chunk_size, overlap, resume_at, max_chunks, max_bytes (of each evidence)."""
 
     @classmethod
     def name(cls):
@@ -114,7 +135,10 @@ class EvidenceSource(DataSource):
         return EvidenceReader(self.options)
 
 
-def read_evidence(spark: SparkSession, path: str, chunk_size: int, overlap: int, resume_at: int = 0, max_chunks: int | None = None) -> DataFrame:
+def read_evidence(spark: SparkSession, path: str, chunk_size: int, overlap: int, resume_at: int = 0, max_chunks: int | None = None, max_bytes: int | None = None) -> DataFrame:
     spark.dataSource.register(EvidenceSource)
     reader = spark.read.format("evidence").option("chunk_size", chunk_size).option("overlap", overlap).option("resume_at", resume_at)
-    return (reader if max_chunks is None else reader.option("max_chunks", max_chunks)).load(path)
+    for name, value in (("max_chunks", max_chunks), ("max_bytes", max_bytes)):
+        if value is not None:
+            reader = reader.option(name, value)
+    return reader.load(path)

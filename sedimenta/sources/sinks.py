@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame
@@ -52,6 +53,30 @@ def write(df: DataFrame, folder: str, table: str, kind: str = "parquet", mode: s
         raise ValueError(f"unknown sink: {kind}")
 
 
+def work_folder(spark) -> str:
+    """A fresh folder that the driver and all executors share: under ``spark.checkpoint.dir``, or a temporary one where it is unset and the master is local."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is unset: executors need a folder that they share with the driver")
+        folder = "file://" + tempfile.mkdtemp(prefix="sedimenta-")
+    return f"{folder.rstrip('/')}/work-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, path: str) -> DataFrame:
+    """``df`` written to ``path`` as Parquet and read from there: computed once, whatever is made of it."""
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def remove(folder: str) -> None:
+    from pyarrow import fs
+
+    filesystem, at = fs.FileSystem.from_uri(folder)
+    if filesystem.get_file_info(at).type != fs.FileType.NotFound:
+        filesystem.delete_dir(at)
+
+
 def save_state(path: str, state: dict) -> None:
     """The checkpoint document, renamed into place when it is whole."""
     tmp = f"{path}.{uuid.uuid4().hex}.tmp"

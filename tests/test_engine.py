@@ -2,6 +2,7 @@
 
 import hashlib
 import json
+import os
 from datetime import datetime, timezone
 
 import pytest
@@ -117,6 +118,68 @@ def test_run_writes_all_tables(spark, image, tmp_path):
     assert history.first()["evidence_sha256"] == evidence.evidence_sha256(path)
 
 
+def test_evidence_is_scanned_once(spark, image, tmp_path, monkeypatch):
+    """Tables are made of stored rows: no plan reads the evidence again, and one scan, one carve and one SQLite pass were stored."""
+    path, _ = image
+    config = EngineConfig(chunk_size=1 << 20, overlap=64, scan_strings=True, scan_entropy=True, page_recovery=True)
+    reads, kept = [], []
+    monkeypatch.setattr(plan, "read_evidence", lambda *a, real=plan.read_evidence: reads.append(a) or real(*a))
+
+    def step(name, df, to):
+        kept.append((name, df._jdf.queryExecution().toString().count("evidence(")))
+        return sinks.stored(df, to)
+
+    tables = plan.run_tables(spark, path, config, work=f"file://{tmp_path}/work", step=step)
+    assert [k for k, _ in kept] == ["scan", "carve", "sqlite"] and len(reads) == 1
+    for name, df in tables.items():
+        scans = df._jdf.queryExecution().executedPlan().toString()
+        assert "BatchScan evidence" not in scans and "PythonScan" not in scans, name
+    got = tables["run_summary"].first()
+    assert got["bytes_scanned"] == sum(r[2] for r in evidence.planned(os.path.getsize(path), 1 << 20, 64)) and got["files"] == tables["carved_files"].count()
+    alone = evidence.read_evidence(spark, path, 1 << 20, 64)
+    assert got["hits"] == scan.find_hits(alone, config.patterns()).count() and got["spans"] == scan.find_spans(alone).count() and got["artefacts"] == scan.find_artefacts(alone).count()
+
+
+def test_errors_are_counted(spark, tmp_path):
+    """A hit whose evidence cannot be opened, and a carved database that is none."""
+    hits = spark.createDataFrame([(str(tmp_path / "missing"), 0, 5, "png", "p")], "evidence string, chunk_id long, global_offset long, file_type string, pattern_id string")
+    tried = carve.attempts(hits, EngineConfig()).collect()
+    assert len(tried) == 1 and "FileNotFoundError" in tried[0]["failed"] and carve.carve(hits, EngineConfig()).count() == 0
+    broken = spark.createDataFrame([("f", bytearray(b"SQLite format 3\0" + b"x" * 600))], "source_file string, data binary")
+    assert [r["tab"] for r in browser.read_sqlite_tables(broken).collect()] == ["!error"]
+    none = spark.createDataFrame([], "length long")
+    assert limits.summary(none, none, none, none, none, hits).first()["errors"] == 1
+
+
+def test_cancelled_runs_stop(spark, image, tmp_path):
+    with pytest.raises(plan.Cancelled):
+        plan.run(spark, image[0], str(tmp_path / "out"), EngineConfig(chunk_size=1 << 20), cancelled=lambda: True)
+    assert not (tmp_path / "out").exists()
+
+
+def test_command_line(spark, image, tmp_path, capsys):
+    from sedimenta import __main__ as cli
+
+    args = cli.parser().parse_args(["--input", "x", "--output", "y", "--chunk-mib", "2", "--overlap-kib", "0", "--scan-urls", "--no-scan-phones", "--types", "png,what"])
+    config, unknown = cli.options(args)
+    assert (config.chunk_size, config.overlap, config.scan_strings, config.scan_phones, unknown) == (2 << 20, 0, True, False, ["what"]) and [t.id for t in config.file_types] == ["png"]
+    import logging
+
+    log, before = logging.getLogger("sedimenta"), list(logging.getLogger("sedimenta").handlers)
+    try:
+        assert cli.main(["--input", image[0], "--output", str(tmp_path / "out"), "--chunk-mib", "1", "--types", "png", "--log-format", "json"]) == 0
+    finally:
+        log.handlers = before
+    lines = [json.loads(x) for x in capsys.readouterr().err.splitlines() if x.startswith('{"time"')]
+    assert {"scan", "carve", "run_summary"} <= {x.get("step") for x in lines} and lines[-1]["summary"]["files"] == 1
+    assert (tmp_path / "out" / "carved_files").is_dir()
+
+
+def test_limits_are_planned():
+    assert evidence.planned(100, 40, 10, max_bytes=70) == [(0, 0, 50, 40), (1, 40, 20, 20)]
+    assert evidence.planned(100, 40, 10, resume_at=40, max_chunks=2) == [(1, 40, 50, 40)] and evidence.planned(0, 40, 10) == []
+
+
 def test_text_sinks(spark, tmp_path):
     df = sinks.with_provenance(spark.createDataFrame([("a", None, ["x", "y"])], "p string, q string, errors array<string>").coalesce(1), "c")
     for kind in ("jsonl", "csv", "dry"):
