@@ -1,7 +1,8 @@
 """Deterministic sharded WARC archives.
 
-Records are sorted by page id and cut into shards of about equal size.  The bounds come from sums of payload sizes over ranges of ids, which are
-refined where a range holds too much; so they depend on the rows alone, not on partitions, and a shard always has the same bytes.  A task
+Records are sorted by page id, then by a hash of payload and URL (the tie), and cut into shards of about equal size: a shard begins where the running sum of payload sizes passes a multiple
+of the target.  The sums are exact and made in two passes over sorted keys (sums of partitions, then sums within them), so bounds depend on the rows alone, not on partitions, and a shard
+always has the same bytes.  Null and repeated ids are split like others; rows alike in id, payload and URL that fill several shards are dealt to these in turn, and only which of them gets which is open.  A task
 writes a shard's records as gzip members and begins a new file when the compressed size passes the limit.  Headers, record ids and digests are
 generated from the row.  A file is written under a temporary name, renamed when it is whole, and entered in the manifest; the manifest is committed
 in the same way after all tasks have ended, and readers use only files that it names.  So a task that is run again replaces its files by equal ones.
@@ -20,9 +21,12 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, new_folder
+from .common import cut, join_sized, new_folder
 
-LEAST, ROLL, SHARD, RANGES = 100, 32 << 20, 96 << 20, 4096
+#: Payloads below LEAST bytes are never revisits; compressed size at which a file ends; shards have about 1/SHARDS of all bytes, but no less and no more than these.
+LEAST, ROLL, SHARDS, SMALLEST, LARGEST = 100, 32 << 20, 64, 4 << 20, 96 << 20
+#: Bytes that a record's headers are taken to have, and the id that null sorts as.
+HEADERS, NULL_ID = 600, -(1 << 63)
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 MANIFEST = "manifest.jsonl"
@@ -45,6 +49,17 @@ def record_id(page_id, digest: str) -> str:
     return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_OID, f'{page_id}:{digest}')}>"
 
 
+def header_url(url: str) -> list[str]:
+    """Header lines of a URL: as it is if a header can hold it, else with the UTF-8 bytes of other characters percent-encoded, and the exact URL in a header of its own."""
+    import base64
+
+    if url and url == url.strip() and url.isprintable() and " " not in url:
+        return [f"WARC-Target-URI: {url}"]
+    data = url.encode("utf-8", "surrogatepass")
+    coded = "".join(c if c.isprintable() and c != " " else "".join(f"%{b:02X}" for b in c.encode("utf-8", "surrogatepass")) for c in url)
+    return [f"WARC-Target-URI: {coded}", f"X-Target-URI-Base64: {base64.b64encode(data).decode()}"]
+
+
 def make_record(page_id, url, payload: bytes, digest: str, refers_to, date: str = DATE) -> bytes:
     """A response record, or a revisit record without the payload if it refers to another page."""
     import hashlib
@@ -53,7 +68,7 @@ def make_record(page_id, url, payload: bytes, digest: str, refers_to, date: str
     block = http if refers_to is not None else http + payload
     lines = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: {record_id(page_id, digest)}", f"WARC-Date: {date}"]
     if url is not None:
-        lines.append(f"WARC-Target-URI: {''.join(c if c.isprintable() and c != ' ' else '%' + format(ord(c) & 255, '02X') for c in url)}")
+        lines += header_url(url)
     lines.append(f"WARC-Payload-Digest: sha256:{digest}")
     lines.append(f"WARC-Block-Digest: sha256:{hashlib.sha256(block).hexdigest()}")
     if page_id is not None:
@@ -64,34 +79,72 @@ def make_record(page_id, url, payload: bytes, digest: str, refers_to, date: str
     return "\r\n".join(lines).encode("utf-8", "replace") + block + b"\r\n\r\n"
 
 
-def shard_bounds(sizes: DataFrame, target: int = SHARD, ranges: int = RANGES) -> list[int]:
-    """Ids at which a new shard begins (the first shard has no lower bound).  ``sizes``: (page_id, bytes).
+class Placement:
+    """Shards of rows, from the keys (id, tie) at which shards begin; rows of a key that begins several shards are dealt to these in turn."""
+
+    def __init__(self, bounds: list[tuple[int, int]]):
+        import numpy as np
+
+        self.ids, self.ties = (np.array([b[k] for b in bounds], "int64") for k in (0, 1))
+
+    def ranges(self, page_id, tie):
+        """The first and last shard of each key."""
+        import numpy as np
+
+        page_id = np.array([NULL_ID if x is None else x for x in page_id], "int64")
+        tie = np.asarray(tie, "int64")
+        low, high = np.searchsorted(self.ids, page_id, "left"), np.searchsorted(self.ids, page_id, "right")
+        first, last = high.copy(), high.copy()
+        for k in np.flatnonzero(high > low):  # ids at which a shard begins
+            part = self.ties[low[k] : high[k]]
+            last[k] = low[k] + np.searchsorted(part, tie[k], "right")
+            first[k] = min(last[k], low[k] + np.searchsorted(part, tie[k], "left") + 1)
+        return first, last
+
+    def shards(self, page_id, tie, row):
+        import numpy as np
+
+        first, last = self.ranges(page_id, tie)
+        return first + np.asarray(row, "int64") % (last - first + 1)
+
+
+def shard_bounds(sizes: DataFrame, target: int) -> list[tuple[int, int]]:
+    """Keys (id, tie) at which a new shard begins, once for each shard that begins there (the first shard has no lower bound).  ``sizes``: (page_id, tie, bytes).
 
-    Each pass sums the sizes over at most ``ranges`` ranges of ids; ranges with more than the target that can still be divided are looked at again.
-    Ids in one range of width 1 are one id.
+    What the driver gets is a number for each partition and a key for each shard.
     """
-    low, high = sizes.agg(F.min("page_id"), F.max("page_id")).first()
-    if low is None:
-        return []
-    todo, cells = [(low, high)], []
-    while todo:
-        again = []
-        for lo, hi in todo[:64]:
-            width = max(1, -(-(hi - lo + 1) // ranges))
-            cell = F.floor((F.col("page_id") - F.lit(lo)) / width).cast("long")
-            for r in sizes.where(F.col("page_id").between(lo, hi)).groupBy(cell.alias("cell")).agg(F.sum("bytes").alias("bytes"), F.min("page_id").alias("lo"), F.max("page_id").alias("hi")).collect():
-                (again if r["bytes"] > target and r["hi"] > r["lo"] else cells).append((r["lo"], r["hi"]) if r["bytes"] > target and r["hi"] > r["lo"] else (r["lo"], r["bytes"]))
-        todo = todo[64:] + again
-    bounds, full = [], 0
-    for lo, size in sorted(cells):
-        if full and full + size > target:
-            bounds.append(lo)
-            full = 0
-        full += size
-    return bounds
-
-
-def write_archives(pages: DataFrame, folder: str, roll: int = ROLL, shard: int = SHARD, least: int = LEAST, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+    spark = sizes.sparkSession
+    keys = sizes.groupBy(F.coalesce("page_id", F.lit(NULL_ID)).alias("page_id"), "tie").agg(F.sum("bytes").alias("bytes"), F.count(F.lit(1)).alias("n"))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    keys = cut(keys.repartitionByRange(parts, "page_id", "tie").sortWithinPartitions("page_id", "tie").withColumn("part", F.spark_partition_id()))
+    before, total = {}, 0
+    for r in sorted(keys.groupBy("part").agg(F.sum("bytes").alias("bytes")).collect()):
+        before[r["part"]], total = total, total + r["bytes"]
+    shared = spark.sparkContext.broadcast(before)
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        at = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            page_id, tie, size, rows, part = (batch.column(k).to_numpy() for k in range(5))
+            at = shared.value[int(part[0])] if at is None else at
+            ends = at + np.cumsum(size)
+            starts = (np.concatenate([[at], ends[:-1]]) + target - 1) // target  # shards that begin here or later
+            n = (ends + target - 1) // target - starts
+            if at == 0:
+                n[0] -= 1  # the first shard
+            n = np.clip(n, 0, rows)  # a row is in one shard, however long it is
+            at = int(ends[-1])
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(x, n)) for x in (page_id, tie)], names=["page_id", "tie"])
+
+    return sorted(tuple(r) for r in keys.select("page_id", "tie", "bytes", "n", "part").mapInArrow(run, "page_id long, tie long").collect())
+
+
+def write_archives(pages: DataFrame, folder: str, roll: int = ROLL, shard: int | None = None, least: int = LEAST, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Writes a record for each row of ``pages`` to ``folder`` and returns the manifest (shard, file, records, bytes, sha256).
 
     Null html counts as empty, null urls give records without a target.  A row whose id is null or the smallest of its payload is a response (repeated ids
@@ -99,25 +152,36 @@ def write_archives(pages: DataFrame, folder: str, roll: int = ROLL, shard: int =
     """
     spark = pages.sparkSession
     html = F.encode(F.coalesce(F.col(html_col), F.lit("")), "UTF-8")
-    pages = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), html.alias("html")).withColumn("digest", F.sha2("html", 256))
-    marks = cut(pages.select("page_id", "digest", F.length("html").cast("long").alias("bytes")))
-    first = marks.where((F.col("bytes") >= least) & F.col("page_id").isNotNull()).groupBy("digest").agg(F.min("page_id").alias("first"), F.max("page_id").alias("last")).where("first < last")
-    revisits = marks.where("page_id is not null").select("page_id", "digest").distinct().join(first, "digest").where("page_id > first")
-    bounds = shard_bounds(marks.select("page_id", (F.col("bytes") + 600).alias("bytes")), shard)
-    shared = spark.sparkContext.broadcast(bounds)
+    pages = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), html.alias("html")).withColumn("digest", F.sha2("html", 256)).withColumn("tie", F.xxhash64("digest", "url"))
+    marks = cut(pages.select("page_id", "digest", "tie", F.length("html").cast("long").alias("bytes")))
+    first = marks.where((F.col("bytes") >= least) & F.col("page_id").isNotNull()).groupBy("digest").agg(F.min("page_id").alias("first"), F.max("page_id").alias("last"), F.count(F.lit(1)).alias("n")).where("first < last")
+    first = cut(first)
+    known, total = marks.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.col("bytes") + HEADERS), F.lit(0))).first()
+    revisits = join_sized(marks.where("page_id is not null").select("page_id", "digest", "tie").distinct(), first, ["digest"], known, 64).where("page_id > first")
+    shard = shard or min(LARGEST, max(SMALLEST, total // SHARDS))
+    bounds = shard_bounds(marks.select("page_id", "tie", (F.col("bytes") + HEADERS).alias("bytes")), shard)
+    shared = spark.sparkContext.broadcast(Placement(bounds))
 
     @F.pandas_udf("long")
-    def shard_of(page_id):
-        import numpy as np
+    def shard_of(page_id, tie, row):
         import pandas as pd
 
-        return pd.Series(np.searchsorted(np.array(shared.value, "int64"), page_id.fillna(-(1 << 63)).to_numpy("int64"), "right"))
+        ids = [None if x is None or x != x else int(x) for x in page_id.astype(object)]
+        return pd.Series(shared.value.shards(ids, tie.to_numpy("int64"), row.to_numpy("int64")))
+
+    @F.pandas_udf("array<long>")
+    def shards_of(page_id, tie):
+        import pandas as pd
 
-    asked = revisits.select("page_id", F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("html"), "digest", F.col("first").alias("refers_to"), F.lit(0).alias("kind"))
-    rows = pages.withColumn("refers_to", F.lit(None).cast("long")).withColumn("kind", F.lit(1)).unionByName(asked).withColumn("shard", shard_of("page_id"))
+        return pd.Series([list(range(a, b + 1)) for a, b in zip(*shared.value.ranges(page_id, tie.to_numpy("int64")), strict=True)])
+
+    asked = revisits.withColumn("shard", F.explode(shards_of("page_id", "tie")))
+    asked = asked.select("page_id", F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("html"), "digest", F.col("first").alias("refers_to"), F.lit(0).alias("kind"), "tie", "shard")
+    rows = pages.withColumn("refers_to", F.lit(None).cast("long")).withColumn("kind", F.lit(1)).withColumn("shard", shard_of("page_id", "tie", F.monotonically_increasing_id()))
+    rows = rows.select(asked.columns).unionByName(asked)
     parts = max(1, min(len(bounds) + 1, 20_000))
     # shards go to tasks in turn, so that none gets several while another has none
-    rows = rows.repartitionById(parts, (F.col("shard") % parts).cast("int")).sortWithinPartitions("shard", "page_id", "digest", "kind", "url")
+    rows = rows.repartitionById(parts, (F.col("shard") % parts).cast("int")).sortWithinPartitions("shard", "page_id", "tie", "digest", "kind", "url")
 
     def write(batches):
         import hashlib
@@ -239,6 +303,8 @@ def read_archives(spark: SparkSession, folder: str, payloads: bool = True, stric
     n = files.count()
 
     def read(batches):
+        import base64
+
         import pyarrow as pa
 
         filesystem, root = open_folder(folder)
@@ -252,8 +318,11 @@ def read_archives(spark: SparkSession, folder: str, payloads: bool = True, stric
                         h, web, payload, digest, ok = parse_record(record)
                         if strict and not ok:
                             raise ValueError(f"a record's content is not that of its digest: page {h.get('x-page-id')} in {name}")
+                        url = h.get("warc-target-uri")
+                        if "x-target-uri-base64" in h:
+                            url = base64.b64decode(h["x-target-uri-base64"]).decode("utf-8", "surrogatepass")
                         page, to, response = h.get("x-page-id"), h.get("x-refers-to-page-id"), h["warc-type"] == "response"
-                        rows.append((page and int(page), h.get("warc-target-uri"), h["warc-type"], to and int(to), len(payload) if response else int(web["content-length"]), digest if response else h["warc-payload-digest"].partition(":")[2], payload if response and payloads else None, name, ok))
+                        rows.append((page and int(page), url, h["warc-type"], to and int(to), len(payload) if response else int(web["content-length"]), digest if response else h["warc-payload-digest"].partition(":")[2], payload if response and payloads else None, name, ok))
                         size += len(record) if payloads else 200
                         if size > 4 << 20:
                             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
