@@ -6,9 +6,10 @@ half gets a vantage-point tree over its own Hamming distance, searched with radi
 A tree is built by the driver from a bounded sample of fingerprints and only routes: a fingerprint goes home to one leaf, left of a node if its
 distance to the vantage point is at most the node's median, else right; by the triangle inequality a point within the radius can be
 on the other side only if the distance is within the radius of the median, and then the fingerprint visits that side too.  A leaf (a shard of the
-shuffle) compares home points with each other and with visitors.  Inside a large leaf the same pruning is repeated, and what no
+shuffle) compares home points with each other and with visitors, not visitors with each other.  Inside a large leaf the same pruning is repeated, and what no
 vantage point splits is compared in blocks of bounded memory.  Only distinct fingerprints take part, and a leaf returns a spanning forest of its
 links, not all pairs.  So the size of groups of copies does not matter, and no link between different fingerprints changes the components.
+Depth and sample grow with the number of fingerprints up to a bound; a shard that is still too large for one task is dealt to several.
 """
 
 from __future__ import annotations
@@ -17,10 +18,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, narrow, pieces
+from .common import cut, join_sized, narrow, pieces, with_row_ids
 
 RADIUS, SEED, SHINGLE = 3, 42, 3
-SAMPLE, LEAF, DEEPEST = 20_000, 2048, 12
+#: Points of a shard while there are up to FEW shards a tree, and beyond that; the most levels; the sample's least size and its points for each leaf (so at most EACH << DEEPEST, about
+#: a million); points that a shard compares without dividing them; rows above which a shard is dealt to several tasks.
+LEAF, FEW, WIDE, DEEPEST, SAMPLE, EACH, INNER, FULL = 2048, 128, 1 << 16, 16, 20_000, 16, 2048, 2_000_000
 SPACES = b" \t\n\x0b\x0c\r"
 
 
@@ -124,8 +127,8 @@ class VantageTree:
         return [np.concatenate(x) for x in zip(*out, strict=True)]
 
 
-def _links(points, radius: int, block: int = 1024):
-    """Index pairs of points within the radius, as found; a spanning forest is left of them.  Recursive vantage points above ``LEAF`` points."""
+def _links(points, home, radius: int, block: int = 1024):
+    """Index pairs of points within the radius, one of them at home at least, as found; a spanning forest is left of them.  Recursive vantage points above ``INNER`` points."""
     import numpy as np
 
     n = len(points)
@@ -147,16 +150,23 @@ def _links(points, radius: int, block: int = 1024):
                 parent[max(ra, rb)] = min(ra, rb)
                 kept.append((a, b))
 
-    def compare(left, right, same):
+    def compare(left, right):
         for s in range(0, len(left), block):
             x = left[s : s + block]
-            for t in range(s if same else 0, len(right), block):
+            for t in range(0, len(right), block):
                 y = right[t : t + block]
                 i, j = np.nonzero(_distance(points[x][:, None], points[y][None, :]) <= radius)
-                if same and s == t:
-                    i, j = i[(m := i < j)], j[m]
                 join(x[i], y[j])
 
+    def within(idx):
+        at, guests = idx[home[idx]], idx[~home[idx]]
+        for s in range(0, len(at), block):
+            x = at[s : s + block]
+            i, j = np.nonzero(np.triu(_distance(points[x][:, None], points[x][None, :]) <= radius, 1))
+            join(x[i], x[j])
+            compare(x, at[s + block :])
+        compare(at, guests)
+
     def split(idx):
         for vantage in rng.choice(idx, 4):
             d = _distance(points[idx], points[vantage]).astype("int64")
@@ -168,25 +178,36 @@ def _links(points, radius: int, block: int = 1024):
     stack = [np.arange(n)]
     while stack:
         idx = stack.pop()
-        d, median = split(idx) if len(idx) > LEAF else (None, 0)
+        if not home[idx].any():
+            continue
+        d, median = split(idx) if len(idx) > INNER else (None, 0)
         if d is None:
-            compare(idx, idx, True)
+            within(idx)
         else:
             stack += [idx[d <= median], idx[d > median]]
-            compare(idx[(d <= median) & (d > median - radius)], idx[(d > median) & (d <= median + radius)], False)
+            left, right = idx[(d <= median) & (d > median - radius)], idx[(d > median) & (d <= median + radius)]
+            compare(left[home[left]], right)
+            compare(left[~home[left]], right[home[right]])
     return kept
 
 
+def tree_depth(known: int) -> int:
+    """Levels of the trees: ``LEAF`` points a shard at ``FEW`` shards or fewer, above that ``WIDE`` points a shard, up to ``DEEPEST`` levels."""
+    depth = 0
+    while depth < DEEPEST and known > (LEAF if 1 << depth < FEW else WIDE) << depth:
+        depth += 1
+    return depth
+
+
 def fingerprint_links(distinct: DataFrame, known: int, radius: int = RADIUS) -> DataFrame:
     """(a, b): links between different fingerprints that connect all that are linked.  ``distinct`` has each fp once, ``known`` is their number."""
     import numpy as np
 
     spark = distinct.sparkSession
-    share = min(0.5, SAMPLE / max(known, 1))
-    drawn = distinct.where(F.pmod(F.xxhash64(F.col("fp").cast("string")), F.lit(1 << 20)) < int(share * (1 << 20))).select("fp").toPandas()["fp"].to_numpy("int64").view("uint64")
-    depth = 0
-    while depth < DEEPEST and known > LEAF << depth:
-        depth += 1
+    depth = tree_depth(known)
+    share = min(0.5, max(SAMPLE, EACH << depth) / max(known, 1))
+    drawn = distinct.where(F.pmod(F.xxhash64(F.col("fp").cast("string")), F.lit(1 << 30)) < int(share * (1 << 30))).select("fp").toPandas()["fp"].to_numpy("int64").view("uint64")
+    drawn.sort()
     near = radius // 2
     halves = [lambda x: x & np.uint64(0xFFFFFFFF), lambda x: x >> np.uint64(32)]
     trees = spark.sparkContext.broadcast([VantageTree(h(drawn), depth, k) for k, h in enumerate(halves)])
@@ -205,45 +226,70 @@ def fingerprint_links(distinct: DataFrame, known: int, radius: int = RADIUS) ->
     def search(pdf):
         import pandas as pd
 
-        home = pdf["home"].to_numpy()
+        home = pdf["home"].to_numpy("bool")
         fp = pdf["fp"].to_numpy("int64").view("uint64")
-        if not home.any():
-            return pd.DataFrame({"a": [], "b": []}, dtype="int64")
-        kept = _links(fp, radius)
+        kept = _links(fp, home, radius) if home.any() else []
         a = np.array([x[0] for x in kept], "int64")
         b = np.array([x[1] for x in kept], "int64")
         fp = fp.view("int64")
         return pd.DataFrame({"a": np.minimum(fp[a], fp[b]), "b": np.maximum(fp[a], fp[b])})
 
     routed = distinct.select("fp").mapInArrow(route, "shard long, fp long, home boolean")
-    return routed.groupBy("shard").applyInPandas(search, "a long, b long").distinct()
+    if known > FULL:  # no shard can have more rows otherwise
+        routed = cut(routed)
+        large = routed.groupBy("shard").count().where(F.col("count") > FULL).select("shard", F.ceil(F.col("count") / FULL).cast("int").alias("blocks"))
+        routed = split_large(routed, large)
+    else:
+        routed = routed.withColumn("pair", F.lit(0))
+    return routed.groupBy("shard", "pair").applyInPandas(search, "a long, b long").distinct()
 
 
-def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
+def split_large(routed: DataFrame, large: DataFrame) -> DataFrame:
+    """``routed`` with a column pair: rows of ``large`` shards (there are fewer than the trees have leaves) are dealt to as many blocks as the shard needs, and each block goes to the pairs
+    it forms with itself and the others, so that every two rows still meet, and no task gets more than about twice ``FULL`` rows."""
+    both = routed.join(F.broadcast(large), "shard", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    own = F.pmod(F.xxhash64("fp"), F.col("blocks").cast("long")).cast("int")
+    others = F.sequence(F.lit(0), F.col("blocks") - 1)
+    pair = F.transform(others, lambda k: F.least(k, F.col("own")) * F.col("blocks") + F.greatest(k, F.col("own")))
+    return both.withColumn("own", own).select("shard", "fp", "home", F.explode(pair).alias("pair"))
+
+
+def components(links: DataFrame, most_rounds: int = 1000) -> DataFrame:
     """(node, label) of every node of the undirected links (a, b), label being the smallest node reachable.
 
-    Rounds of large-star and small-star until nothing changes; each is written to the shared checkpoint folder.  A hub of many links is one key of the
-    grouping, whose minimum is combined before the shuffle, and the join that follows has one row per key on one side.
+    Rounds of large-star and small-star until nothing changes; each is written to the shared checkpoint folder.  Their number grows with the logarithm of the longest path;
+    ``most_rounds`` only guards against endless runs.  A hub of many links is one key of the grouping, whose minimum is combined before the shuffle, and rows of hubs get it from a broadcast.
     """
-    spark = links.sparkSession
     edges = cut(links.select(F.col("a").alias("u"), F.col("b").alias("v")).where("u <> v"))
-    before = None
+    before, known = None, edges.count()
     for _ in range(most_rounds):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        edges = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        low = down.groupBy("u").agg(F.min("v").alias("m"))
-        edges = down.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).distinct()
+        low = cut(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count(F.lit(1)).alias("n")))
+        edges = join_sized(both.where("v > u"), low, ["u"], 2 * known).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        down = cut(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")))
+        low = cut(down.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")))
+        edges = join_sized(down, low, ["u"], 2 * known).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).distinct()
         edges = cut(edges)
         state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before:
             break
-        before = state
+        before, known = state, state[0]
     else:
         raise RuntimeError("components did not settle")
     out = edges.select(F.col("u").alias("node"), F.col("v").alias("label"))
-    return out.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("label"))).distinct() if edges.columns else spark.createDataFrame([], "node long, label long")
+    return out.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("label"))).distinct()
+
+
+def _grouped(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, int]:
+    """(id, fp) of every row; (fp, n, component_id, label) of every fingerprint, both stored; the number of rows."""
+    marked = cut(fingerprints(docs, id_col, text_col).withColumnRenamed(id_col, "doc_id"))
+    distinct = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")))
+    known = distinct.count()
+    labels = cut(components(fingerprint_links(distinct, known)))
+    member = cut(distinct.join(narrow(labels.withColumnRenamed("node", "fp"), known), "fp", "left").withColumn("label", F.coalesce("label", "fp")))
+    least = cut(member.groupBy("label").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("n")))
+    by_fp = cut(join_sized(member.select("fp", "label", F.col("n").alias("rows")), least, ["label"], known).select("fp", F.col("rows").alias("n"), "component_id", "label"))
+    return marked, by_fp, marked.count()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -252,17 +298,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Empty and null texts have fingerprint zero and link like any other.  Repeated ids give repeated rows; null ids are ignored by the
     minimum, so component_id is null only where all ids of a component are.  Extra columns are ignored.
     """
-    marked = cut(fingerprints(docs, id_col, text_col).withColumnRenamed(id_col, "doc_id"))
-    distinct = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    labels = cut(components(fingerprint_links(distinct, distinct.count())))
-    member = distinct.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
-    least = member.groupBy("label").agg(F.min("least").alias("component_id"))
-    by_fp = cut(member.join(least, "label").select("fp", "component_id"))
-    out = marked.join(narrow(by_fp, by_fp.count()), "fp")
+    marked, by_fp, n = _grouped(docs, id_col, text_col)
+    out = join_sized(marked, by_fp, ["fp"], n)
     return out.select(F.col("doc_id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one document of each group: the one with the smallest id (with all its repeated rows; null ids stay).  Columns unchanged."""
-    lost = cut(near_duplicates(docs, id_col, text_col).where(F.col("component_id") < F.col(id_col)).select(id_col).distinct())
-    return docs.join(narrow(lost, lost.count()), id_col, "left_anti").select(docs.columns)
+    """``docs`` with one row of each group: that with the smallest id (null ids come last; of repeated ids, one row).  Columns unchanged."""
+    own, uid = with_row_ids(docs, id_col)
+    if uid == id_col:
+        marked, by_fp, n = _grouped(docs, id_col, text_col)
+        lost = join_sized(marked, by_fp, ["fp"], n).where("doc_id <> component_id").select(F.col("doc_id").alias(uid))
+    else:
+        marked, by_fp, n = _grouped(own, uid, text_col)
+        marked = join_sized(marked, by_fp, ["fp"], n).select(F.col("doc_id").alias("uid"), "label")
+        marked = cut(marked.join(narrow(own.select(F.col(uid).alias("uid"), F.col(id_col).alias("o")), n), "uid"))
+        order = F.struct(F.col("o").isNull(), F.col("o"), F.col("uid"))
+        stay = cut(marked.groupBy("label").agg(F.min(order)["uid"].alias("stay"), F.count(F.lit(1)).alias("n")))
+        lost = join_sized(marked, stay, ["label"], n).where("uid <> stay").select(F.col("uid").alias(uid))
+    lost = cut(lost)
+    return own.join(narrow(lost, lost.count()), uid, "left_anti").select(docs.columns)
