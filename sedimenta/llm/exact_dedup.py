@@ -23,7 +23,7 @@ from .common import cut, join_sized, narrow, with_row_ids
 
 FIRST_WIDTH, GROWTH, WIDEST = 32, 16, 1 << 16
 #: The most hashes that can be hot, and the rows of one that never are.
-HOT_KEYS, HOT_ROWS = 10_000, 512
+HOT_KEYS, HOT_ROWS = 10_000, 64
 
 
 def _data(text_col: str) -> Column:
