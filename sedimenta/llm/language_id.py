@@ -279,10 +279,10 @@ def training_rows(docs: DataFrame, id_col: str, text_col: str, lang_col: str) ->
     return docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(lang_col).alias("l"), fold.alias("fold")).where("fold <> 0 and l is not null and t is not null")
 
 
-def learn(docs: DataFrame, rows_per_language: int = 1500, rows_in_all: int = 60_000, longest: int = 20_000, order: int = 4, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", chars_in_all: int = 120_000_000) -> LanguageModels:
-    """Models of all labels, learned from a sample chosen by a hash of the id: about ``rows_per_language`` rows of each language, ``rows_in_all`` and
-    ``chars_in_all`` at most.  Of a text above ``longest`` characters it takes a stretch of so many, whose place the hash chooses.  Each label
-    keeps one row at least, whatever its number of rows; apart from that these bounds hold whatever the table's size, so what the driver gets is bounded too.
+def learn(docs: DataFrame, rows_per_language: int = 1500, rows_in_all: int = 60_000, longest: int = 20_000, order: int = 4, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", chars_in_all: int = 40_000_000) -> LanguageModels:
+    """Models of all labels, learned from a sample: at most ``rows_per_language`` rows of each language, ``rows_in_all`` in all and
+    ``chars_in_all`` characters, but one row at least of each label.  Rows are drawn by a hash of id and text, rows alike in both count once, and of those drawn the smallest hashes come first, so the
+    bounds hold whatever the table's size and ids.  Of a text above ``longest`` characters it takes a stretch of so many, whose place the hash chooses.
     """
     rows = training_rows(docs, id_col, text_col, lang_col)
     size = F.least(F.length("t"), F.lit(longest))
@@ -291,16 +291,21 @@ def learn(docs: DataFrame, rows_per_language: int = 1500, rows_in_all: int = 60_
         return LanguageModels({}, order)
     each, chars = max(1, min(rows_per_language, rows_in_all // len(counts))), chars_in_all / len(counts)
     shares = docs.sparkSession.createDataFrame([(lang, min(1.0, each / n, chars / max(1, c))) for lang, (n, c) in counts.items()], "l string, share double")
-    key = F.coalesce(F.col("i").cast("string"), F.lit(""))
-    draw = F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("double") / float(1 << 32)
-    start = F.pmod(F.xxhash64(key), F.length("t") - longest + 1).cast("int") + 1
+    key = F.xxhash64(F.coalesce(F.col("i").cast("string"), F.lit("")), "t")
+    draw = F.conv(F.substring(F.md5(key.cast("string")), 1, 8), 16, 10).cast("double") / float(1 << 32)
+    start = F.pmod(key, F.length("t") - longest + 1).cast("int") + 1
     stretch = F.when(F.length("t") > longest, F.substring(F.col("t"), start, F.lit(longest))).otherwise(F.col("t")).alias("t")
     texts: dict[str, list[str]] = {}
-    for r in rows.join(narrow(shares, len(counts)), "l").where(draw < F.col("share")).select("l", stretch).toLocalIterator():
-        texts.setdefault(r["l"], []).append(r["t"])
+    taken = dict.fromkeys(counts, 0)
+    rows = rows.join(narrow(shares, len(counts)), "l").withColumn("draw", draw)
+    for r in rows.where("draw < share").select("l", "draw", stretch).distinct().orderBy("draw", "l", "t").toLocalIterator():
+        mine = texts.setdefault(r["l"], [])
+        if not mine or len(mine) < each and taken[r["l"]] + len(r["t"]) <= chars:
+            mine.append(r["t"])
+            taken[r["l"]] += len(r["t"])
     missed = [(lang,) for lang in counts if lang not in texts]
     if missed:  # none of their rows was drawn
-        rest = rows.join(narrow(docs.sparkSession.createDataFrame(missed, "l string"), len(missed)), "l").select("l", stretch, F.struct(draw.alias("draw"), F.xxhash64("t").alias("h")).alias("by"))
+        rest = rows.join(narrow(docs.sparkSession.createDataFrame(missed, "l string"), len(missed)), "l").select("l", stretch, F.struct("draw", F.xxhash64("t").alias("h")).alias("by"))
         for r in rest.groupBy("l").agg(F.min_by("t", "by").alias("t")).toLocalIterator():
             texts[r["l"]] = [r["t"]]
     return LanguageModels({k: sorted(v) for k, v in texts.items()}, order)
