@@ -1,9 +1,9 @@
 """Quality rules as a short-circuit cascade.
 
 A rule looks at a few features of a text and rejects it or not.  A text is kept if no rule rejects it, so the order of the
-rules doesn't change verdicts; it changes what they cost.  The order is found on a bounded sample: each rule's cost is timed, its rejections are
-counted among the texts that the rules before it let pass, and the rule with the most rejections per second goes next.  Features are computed
-when a rule first asks for them, and not at all if an earlier rule has rejected the text (unless the caller wants them reported).
+rules doesn't change verdicts; it changes what they cost.  The order is found on a bounded sample: the rule with the most rejections per second goes next, among the texts that
+the rules before it let pass and with the features at hand that these have computed, so that a rule is charged only for what it adds.  Features are computed
+when a rule first asks for them, and not at all if an earlier rule has rejected the text.  Features that the caller wants reported are computed for every text, and so cost no rule anything.
 """
 
 from __future__ import annotations
@@ -59,6 +59,13 @@ class Features(dict):
         super().__init__()
         self.text, self.data = text, text.encode("utf-8", "replace")
 
+    def copy(self) -> Features:
+        """The same text with the features computed so far."""
+        out = Features.__new__(Features)
+        dict.__init__(out, self)
+        out.text, out.data = self.text, self.data
+        return out
+
     def __missing__(self, name: str):
         value = self[name] = getattr(self, "_" + name)()
         return value
@@ -113,21 +120,25 @@ RULES = (
 )
 
 
-def cascade(sample: list[str], rules: tuple[Rule, ...] = RULES) -> list[dict]:
-    """The rules in the order to run them, with their measured cost (seconds a text) and selectivity among the texts that reach them."""
-    left, rest, out = list(sample), list(rules), []
-    cost = {}
-    for r in rest:
-        began = time.perf_counter()
-        for t in left:
-            r.rejects(Features(t))
-        cost[r.name] = (time.perf_counter() - began) / max(1, len(left)) + 1e-9
+def cascade(sample: list[str], rules: tuple[Rule, ...] = RULES, paid: tuple[str, ...] = ()) -> list[dict]:
+    """The rules in the order to run them, with their marginal cost (seconds a text) and selectivity among the texts that reach them.  ``paid``: features computed anyway."""
+    left, rest, out = [Features(t) for t in sample], list(rules), []
+    for f in left:
+        for name in paid:
+            f[name]  # noqa: B018
     while rest:
-        share = {r.name: sum(r.rejects(Features(t)) for t in left) / max(1, len(left)) for r in rest}
-        best = max(rest, key=lambda r: (share[r.name] / cost[r.name], -cost[r.name]))
-        out.append({"rule": best, "cost": cost[best.name], "selectivity": share[best.name]})
+        tried = []
+        for r in rest:
+            copies = [f.copy() for f in left]
+            began = time.perf_counter()
+            told = [r.rejects(f) for f in copies]
+            cost = (time.perf_counter() - began) / max(1, len(left)) + 1e-9
+            share = sum(told) / max(1, len(left))
+            tried.append((share / cost, -cost, r, cost, share, copies, told))
+        _, _, best, cost, share, copies, told = max(tried, key=lambda x: x[:2])
+        out.append({"rule": best, "cost": cost, "selectivity": share})
         rest.remove(best)
-        left = [t for t in left if not best.rejects(Features(t))]
+        left = [f for f, t in zip(copies, told, strict=True) if not t]
     return out
 
 
@@ -140,15 +151,17 @@ def sample_texts(docs: DataFrame, text_col: str, id_col: str, rows: int, longest
     return [r[0] for r in docs.where(draw & F.col(text_col).isNotNull() & (F.length(text_col) <= longest)).select(text_col).limit(4 * rows).collect()]
 
 
-def apply_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, report: tuple[str, ...] = REPORTED, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = 500, sample_longest: int = 20_000) -> DataFrame:
+def apply_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, report: tuple[str, ...] = REPORTED, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = 500, sample_longest: int = 20_000, trace: bool = False) -> DataFrame:
     """(id, the reported features, base_failed, kept) of every row.
 
     base_failed: a rule of BASE rejects the text; kept: no rule does.  Null texts count as empty (no words, so base_failed).  Ids may be null or
-    repeated; other columns are ignored.  ``sample_rows`` and ``sample_longest`` bound the sample that orders the rules.
+    repeated; other columns are ignored.  ``sample_rows`` and ``sample_longest`` bound the sample that orders the rules.  With ``trace``, two more columns: the names of the
+    rules that were run, in order, the last one being the one that rejected the text if any did, and those of the features that were computed.  Without reported features, base_failed is null where a
+    rule outside BASE has rejected the text before BASE was asked.
     """
-    order = [x["rule"] for x in cascade(sample_texts(docs, text_col, id_col, sample_rows, sample_longest), rules)]
+    order = [x["rule"] for x in cascade(sample_texts(docs, text_col, id_col, sample_rows, sample_longest), rules, report)]
     base = {r.name for r in BASE}
-    fields = [T.StructField(id_col, docs.schema[id_col].dataType), *(T.StructField(c, T.LongType()) for c in report), T.StructField("base_failed", T.BooleanType()), T.StructField("kept", T.BooleanType())]
+    fields = [T.StructField(id_col, docs.schema[id_col].dataType), *(T.StructField(c, T.LongType()) for c in report), T.StructField("base_failed", T.BooleanType()), T.StructField("kept", T.BooleanType()), *[T.StructField(c, T.ArrayType(T.StringType())) for c in ("rules_run", "features")] * trace]
 
     def run(batches):
         import pyarrow as pa
@@ -158,10 +171,19 @@ def apply_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, report: tuple[
             for rows in pieces([(t,) for t in batch.column(1).to_pylist()], lambda r: r[0]):
                 for (t,) in rows:
                     f = Features(t or "")
-                    failed = next((r for r in order if r.rejects(f)), None)
-                    fell = failed is not None and (failed.name in base or any(r.rejects(f) for r in order if r.name in base))
-                    got.append((*(f[c] for c in report), fell, failed is None))
-            kinds = [pa.int64()] * len(report) + [pa.bool_()] * 2
+                    run_rules = []
+                    failed = None
+                    for r in order:
+                        run_rules.append(r.name)
+                        if r.rejects(f):
+                            failed = r
+                            break
+                    fell = failed is not None
+                    if fell and failed.name not in base:  # with the features of BASE reported, its rules cost nothing more
+                        rest = [r for r in order if r.name in base and r.name not in run_rules]
+                        fell = any(r.rejects(f) for r in rest) if report or not rest else None
+                    got.append((*(f[c] for c in report), fell, failed is None, *[run_rules, sorted(f)][: 2 * trace]))
+            kinds = [pa.int64()] * len(report) + [pa.bool_()] * 2 + [pa.list_(pa.string())] * (2 * trace)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([g[k] for g in got], kind) for k, kind in enumerate(kinds))], names=[x.name for x in fields])
 
     return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, T.StructType(fields))
