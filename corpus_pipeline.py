@@ -3,16 +3,17 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from sedimenta.llm import encoding, exact_dedup, language_id, mixing, simhash
-from sedimenta.llm.common import new_folder, table
+from sedimenta.llm.common import free_name, new_folder, table
 from sedimenta.llm.queries import model_path
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can be told; those without a letter, or unlike every language learned, go."""
-    got = language_id.identify(docs, language_id.learn(docs), add=("pipeline_lang", "pipeline_score", "pipeline_entropy", "pipeline_rejected"))
-    return got.where("not pipeline_rejected").select(docs.columns)
+    add = tuple(free_name(docs, f"pipeline_{x}") for x in ("lang", "score", "entropy", "rejected"))
+    return language_id.identify(docs, language_id.learn(docs), add=add).where(~F.col(add[-1])).select(docs.columns)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,13 +22,13 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked fingerprints: the one with the smallest id."""
+    """One document of each group of linked fingerprints: the row with the smallest id."""
     return simhash.drop_near_duplicates(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents repeated or left out at random so that sources get weights in proportion to the square root of their sizes, in random order."""
-    return mixing.mix_sources(docs).select(docs.columns)
+    return mixing.mix_sources(docs, add=tuple(free_name(docs, f"pipeline_{x}") for x in ("copy", "copies", "order"))).select(docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
