@@ -15,7 +15,7 @@ from .config import EngineConfig
 from .functions import artefacts as A
 from .functions import naming as N
 from .operators import browser, carve, limits, scan, sqlite_pages
-from .sources import evidence, sinks
+from .sources import evidence, ewf, sinks
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -466,24 +466,35 @@ def image_sql() -> str:
     return f"SELECT file_type, global_start::BIGINT AS global_start, global_end::BIGINT AS global_end, size::BIGINT AS size, md5, sha256, true AS validated FROM (VALUES {', '.join(row(*x) for x in found)}) v(file_type, global_start, global_end, size, md5, sha256)"
 
 
-@query(image_sql())
-def carved_image(spark, sf):
-    """A synthetic image with a file of every format, carved and hashed."""
+def carve_written(spark, names: list[str], parts: list[bytes]) -> DataFrame:
+    """Carves the evidence whose files are written to the shared folder, so that executors read it too."""
     from pyarrow import fs
 
-    folder = sinks.work_folder(spark)  # executors read the image too
+    folder = sinks.work_folder(spark)
     filesystem, root = fs.FileSystem.from_uri(folder)
-    name = f"image-{uuid.uuid4().hex}.raw"
     filesystem.create_dir(root, recursive=True)
-    with filesystem.open_output_stream(f"{root}/{name}") as out:
-        out.write(samples.image()[0])
-    path = f"{folder.rstrip('/')}/{name}"
+    for name, data in zip(names, parts, strict=True):
+        with filesystem.open_output_stream(f"{root}/{name}") as out:
+            out.write(data)
     config = EngineConfig(chunk_size=256 << 10, overlap=64)
-    chunks = evidence.read_evidence(spark, path, config.chunk_size, config.overlap)
+    chunks = evidence.read_evidence(spark, f"{folder.rstrip('/')}/{names[0]}", config.chunk_size, config.overlap)
     files = carve.carve(scan.scanned(scan.scan_once(chunks, config.patterns()), "hit"), config, 8)
     return files.select("file_type", "global_start", "global_end", "size", "md5", "sha256", "validated")
 
 
+@query(image_sql())
+def carved_image(spark, sf):
+    """A synthetic image with a file of every format, carved and hashed."""
+    return carve_written(spark, [f"image-{uuid.uuid4().hex}.raw"], [samples.image()[0]])
+
+
+@query(image_sql())
+def carved_ewf_image(spark, sf):
+    """The same image as EWF segments, some chunks compressed."""
+    parts, name = samples.ewf_image(samples.image()[0]), f"image-{uuid.uuid4().hex}.E01"
+    return carve_written(spark, [ewf.segment_path(name, n) for n in range(1, len(parts) + 1)], parts)
+
+
 @query("""
 SELECT 'sqlite_page' AS browser, 'unknown' AS profile, 'https://site' || i || '.example.com/page' AS url, 'Title ' || i || ' of a page' AS title,
     make_timestamp(13303449600000000 - 11644473600000000 + i) AS visit_time, 'page_scan' AS visit_source, 'a.sqlite' AS source_file FROM (SELECT unnest(range(0, 20)) AS i)

@@ -176,7 +176,7 @@ def files() -> dict[str, bytes]:
 
 
 def image(step: int = 32 << 10) -> tuple[bytes, dict[str, tuple[int, bytes]]]:
-    """An image with each file at a multiple of the step, and where each lies."""
+    """An image of whole sectors with each file at a multiple of the step, and where each lies."""
     out, places, at = bytearray(), {}, step
     for name, data in files().items():
         out += bytes(at - len(out)) + data
@@ -186,7 +186,7 @@ def image(step: int = 32 << 10) -> tuple[bytes, dict[str, tuple[int, bytes]]]:
             out += b"\nFrom next"
         if name == "gzip":
             out += b"\x1f\x8b\x08"
-    return bytes(out) + bytes(step), places
+    return bytes(out) + bytes(step + -len(out) % 512), places
 
 
 def write_image(path: str) -> dict[str, tuple[int, bytes]]:
@@ -194,3 +194,37 @@ def write_image(path: str) -> dict[str, tuple[int, bytes]]:
     with open(path, "wb") as f:
         f.write(data)
     return places
+
+
+def ewf_section(kind: bytes, at: int, body: bytes, last: bool = False) -> bytes:
+    size = 76 + len(body)
+    head = kind.ljust(16, b"\0") + struct.pack("<QQ40x", at if last else at + size, size)
+    return head + struct.pack("<I", zlib.adler32(head)) + body
+
+
+def ewf_image(data: bytes, sectors: int = 64, per_table: int = 5, per_segment: int = 2) -> list[bytes]:
+    """The segment files of an EWF image of ``data`` (whole sectors of 512 bytes), with few chunks in a table and few tables in a segment; chunks are compressed where that makes them smaller."""
+    step, segments = 512 * sectors, []
+    chunks = [data[i : i + step] for i in range(0, len(data), step)]
+    tables = [chunks[i : i + per_table] for i in range(0, len(chunks), per_table)]
+    volume = struct.pack("<B3xIIIQ", 1, len(chunks), sectors, 512, len(data) // 512).ljust(1048, b"\0")
+    parts = [tables[i : i + per_segment] for i in range(0, len(tables), per_segment)] or [[]]
+    for n, groups in enumerate(parts, 1):
+        out = b"EVF\x09\x0d\x0a\xff\0\1" + struct.pack("<HH", n, 0)
+        if n == 1:
+            out += ewf_section(b"volume", len(out), volume + struct.pack("<I", zlib.adler32(volume)))
+        for group in groups:
+            base, stored, entries = len(out), b"", []
+            for chunk in group:
+                packed = zlib.compress(chunk)
+                small = len(packed) < len(chunk)
+                entries.append((76 + len(stored)) | small << 31)
+                stored += packed if small else chunk + struct.pack("<I", zlib.adler32(chunk))
+            out += ewf_section(b"sectors", base, stored)
+            head = struct.pack("<I4xQ4x", len(entries), base)
+            listed = struct.pack(f"<{len(entries)}I", *entries)
+            table = head + struct.pack("<I", zlib.adler32(head)) + listed + struct.pack("<I", zlib.adler32(listed))
+            out += ewf_section(b"table", len(out), table)
+            out += ewf_section(b"table2", len(out), table)
+        segments.append(out + ewf_section(b"done" if n == len(parts) else b"next", len(out), b"", True))
+    return segments

@@ -10,12 +10,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from . import ewf
+
 
 def open_evidence(path: str):
+    """(seekable stream, size).  EWF images by their first segment, else raw images and devices."""
+    if path.lower().endswith(".ex01"):
+        raise NotImplementedError("EWF images of version 2 are not read; convert them to raw first")
+    if path.lower().endswith(ewf.SUFFIXES):
+        stream = ewf.EwfStream(path, open_raw)
+        return stream, stream.size
+    return open_raw(path)
+
+
+def open_raw(path: str):
     """(seekable stream, size).  Local files and devices, and any store that Arrow knows."""
-    kind = path.lower()
-    if kind.endswith((".e01", ".ex01")):
-        raise NotImplementedError("EWF images need an external library; convert them to raw first")
     if path.startswith("file:"):
         path = "/" + path[5:].lstrip("/")
     if "://" not in path:

@@ -15,7 +15,7 @@ from sedimenta.functions import naming as N
 from sedimenta.operators import browser, carve, limits, scan, sqlite_pages
 from sedimenta.operators.extents import RULES, Limits, View
 from sedimenta.plans import run as plan
-from sedimenta.sources import evidence, sinks
+from sedimenta.sources import evidence, ewf, sinks
 from sedimenta.streaming import watch
 
 
@@ -222,7 +222,81 @@ def test_empty_evidence(spark, tmp_path):
     tables = plan.run_tables(spark, str(tmp_path / "none"), EngineConfig(scan_strings=True, scan_entropy=True))
     assert all(df.count() == (1 if n == "run_summary" else 0) for n, df in tables.items())
     with pytest.raises(NotImplementedError):
-        evidence.open_evidence("a.E01")
+        evidence.open_evidence("a.Ex01")
+
+
+# EWF images
+
+
+def write_ewf(folder, segments, first="a.E01"):
+    for n, data in enumerate(segments, 1):
+        (folder / ewf.segment_path(first, n)).write_bytes(data)
+    return str(folder / first)
+
+
+def test_segment_names():
+    named = {n: ewf.segment_path("x.E01", n) for n in (1, 99, 100, 125, 126, 775, 776)}
+    assert named == {1: "x.E01", 99: "x.E99", 100: "x.EAA", 125: "x.EAZ", 126: "x.EBA", 775: "x.EZZ", 776: "x.FAA"}
+    assert ewf.segment_path("x.e01", 100) == "x.eaa"
+    with pytest.raises(OSError):
+        ewf.segment_path("x.E01", 100 + 22 * 676)
+
+
+def test_ewf_bytes_at_any_place(tmp_path):
+    data = b"".join(hashlib.sha256(bytes([k % 251])).digest() * 8 if k % 3 else os.urandom(256) for k in range(1200)) + bytes(300 * 512)
+    data += b"s" * (512 * 3)  # the last chunk is a short one
+    segments = samples.ewf_image(data, sectors=8, per_table=7, per_segment=3)
+    assert len(segments) > 4
+    stream, size = evidence.open_evidence(write_ewf(tmp_path, segments))
+    with stream:
+        assert size == len(data) and stream.read() == data and stream.read(5) == b""
+        for at, n in ((0, 1), (4095, 2), (28671, 9000), (len(data) - 7, 100), (100, 0), (50_000, 200_000), (1, 3)):
+            assert stream.seek(at) == at and stream.read(n) == data[at : at + n]
+        assert stream.seek(-4, os.SEEK_END) == len(data) - 4 and stream.read() == data[-4:]
+    assert evidence.evidence_sha256(str(tmp_path / "a.E01")) == hashlib.sha256(data).hexdigest()
+    stream, size = evidence.open_evidence(write_ewf(tmp_path, samples.ewf_image(b""), "none.e01"))
+    with stream:
+        assert (size, stream.read()) == (0, b"")
+
+
+def test_damaged_ewf_images(tmp_path):
+    data = os.urandom(4096) + b"a" * 8192 + os.urandom(4096)
+    good = samples.ewf_image(data, sectors=8, per_table=2, per_segment=1)
+
+    def read(name, segments):
+        stream, _ = evidence.open_evidence(write_ewf(tmp_path, segments, f"{name}.E01"))
+        with stream:
+            return stream.read()
+
+    def flipped(segment, at):
+        return segment[:at] + bytes([segment[at] ^ 1]) + segment[at + 1 :]
+
+    assert read("good", good) == data
+    body = 13 + 76 + 1052 + 76
+    cases = {
+        "plain": [flipped(good[0], body + 10), good[1]],  # a chunk with its own checksum
+        "packed": [flipped(good[0], body + 4100 + 26), good[1]],  # zlib's
+        "section": [flipped(good[0], 13 + 20), good[1]],
+        "missing": good[:1],
+        "swapped": [good[0], good[0]],
+        "short": [good[0], good[1][:-80]],
+        "other": [b"not an image" * 10, good[1]],
+    }
+    for name, segments in cases.items():
+        with pytest.raises(OSError):
+            read(name, segments)
+
+
+def test_run_on_an_ewf_image(spark, image, tmp_path):
+    """A whole run gives the same tables for an EWF image as for the raw one."""
+    path, _ = image
+    with open(path, "rb") as f:
+        first = write_ewf(tmp_path, samples.ewf_image(f.read()))
+    config = EngineConfig(chunk_size=200_000, overlap=64, scan_strings=True, scan_entropy=True, page_recovery=True)
+    raw, got = plan.run_tables(spark, path, config), plan.run_tables(spark, first, config)
+    for name, df in got.items():
+        plain = lambda d: sorted(map(repr, d.drop("evidence").collect()))
+        assert plain(df) == plain(raw[name]), name
 
 
 # scans
