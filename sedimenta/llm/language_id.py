@@ -1,7 +1,7 @@
 """Language identification with interpolated Kneser-Ney character models.
 
 Each language has its own model of orders 1 to ``order`` over the characters of words (runs of letters, lower-cased, with a
-start and an end mark), learned from a bounded sample of labelled rows.  A model is a few sorted arrays: the hashes of its
+start and an end mark; letters a-z next to digits, as in hexadecimal numbers and codes, are no words unless a text has no others), learned from a bounded sample of labelled rows.  A model is a few sorted arrays: the hashes of its
 n-grams with their interpolated log-probabilities, and the hashes of its contexts with their back-off weights.  A text gets the
 language of the lowest cross-entropy per character.  Because no context crosses a word's start, a text's score is the sum of its
 words' scores, and workers remember words.
@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 from .common import narrow, pieces
 
 WORD = re.compile(r"[^\W\d_]+")
+TOKEN = re.compile(r"[^\W_]+")
 UNDETERMINED = "und"
 ALPHABET = 5000
 MIX = 0x9E3779B97F4A7C15
@@ -27,7 +28,13 @@ WORDS, CELLS, BLOCK = 200_000, 20_000_000, 1 << 27
 
 
 def words_of(text: str) -> list[str]:
-    return WORD.findall(text.lower())
+    """Words of a text; codes of ASCII letters and digits say nothing of its language, and only count where there is nothing else."""
+    text = text.lower()
+    found = TOKEN.findall(text)
+    words = [t for t in found if t.isalpha()]
+    if len(words) < len(found):
+        words += [w for t in found if not t.isalpha() and not t.isascii() for w in WORD.findall(t)]
+    return words or WORD.findall(text)
 
 
 def _hashes(codes, order: int):

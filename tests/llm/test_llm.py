@@ -660,6 +660,17 @@ def test_language_id(spark, odd, none):
     assert rows(language_id.identify(junk, models))[0]["rejected"]
 
 
+def test_codes_are_no_words():
+    """Letters a-z next to digits only count where a text has no other words; other scripts are not split from their digits that way."""
+    code = "ab12f0c3de"
+    for text, want in [("Hello x1 World_wide", ["hello", "world", "wide"]), (code, ["ab", "f", "c", "de"]), (f"{code} été2 2024年发布", ["été", "年发布"]), ("", []), ("12 _ 3", [])]:
+        assert sorted(language_id.words_of(text)) == sorted(want)
+    texts = {"en": [f"the thing of the other thing {k}" for k in range(20)], "fr": [f"le chat de la maison verte {k}" for k in range(20)]}
+    models = language_id.LanguageModels(texts)
+    plain, coded, bare = models.predict(["the other thing", f"the other thing {hashlib.sha256(b'x').hexdigest()}x1", code])
+    assert plain[0] == coded[0] == "en" and plain[2] == coded[2] and bare[0] in texts and bare[2] is not None
+
+
 @pytest.mark.parametrize("left", ["de", "en", "es", "fr"])
 def test_rejection_of_a_language_left_out(spark, left):
     """Also where a few rows are mislabelled: some of languages that have models, and in the calibration rows (every eighth) one of the language left out."""
