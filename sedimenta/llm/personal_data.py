@@ -152,10 +152,10 @@ def candidates_outside(found: DataFrame) -> DataFrame:
 
 
 def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", as_spans: bool = False, **limits) -> DataFrame:
-    """(id, n_email, n_ip, n_card, n_phone, base_sha256, spans) of every row.
+    """(id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_spans) of every row.
 
     The counts and the digest are of the well-formed entities; spans holds those and the discovered ones, as kind:start:end by kind as listed (secrets last), then
-    start (with ``as_spans``, an array of structs).  Null counts as empty; a text without any span has the digest of the empty string.  Ids may be null or
+    start (with ``as_spans``, an array of structs), and n_spans is their number, so a row above 0 holds personal data of some kind.  Null counts as empty; a text without any span has the digest of the empty string.  Ids may be null or
     repeated: rows are told apart by their own number.  Other columns are ignored.
     """
     found = cut(candidates_outside(candidates(docs, id_col, text_col)))
@@ -173,4 +173,4 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     def count(kind):
         return F.size(F.filter(own, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
-    return out.select(F.col("doc_id").alias(id_col), *map(count, KINDS), F.sha2(text(own), 256).alias("base_sha256"), (F.col("all") if as_spans else text("all")).alias("spans"))
+    return out.select(F.col("doc_id").alias(id_col), *map(count, KINDS), F.sha2(text(own), 256).alias("base_sha256"), (F.col("all") if as_spans else text("all")).alias("spans"), F.size("all").cast("long").alias("n_spans"))

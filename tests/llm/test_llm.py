@@ -303,6 +303,7 @@ def test_personal_data(spark, sf, odd, none):
         got = rows(personal_data.find_personal_data(docs))
         want = Counter((x["doc_id"], *brute_personal(x["text"])[0]) for x in docs.collect())
         assert Counter((x["doc_id"], x["n_email"], x["n_ip"], x["n_card"], x["n_phone"], x["base_sha256"]) for x in got) == want
+        assert all(x["n_spans"] == len(x["spans"].split(",")) * (x["spans"] != "") >= x["n_email"] + x["n_ip"] + x["n_card"] + x["n_phone"] for x in got)
     assert not rows(personal_data.find_personal_data(none))
     assert [x["spans"] for x in sorted(rows(personal_data.find_personal_data(spark.createDataFrame(list(enumerate(HARD)), "doc_id long, text string"))), key=lambda x: x["doc_id"])] == [brute_personal(t)[1] for t in HARD]
 
