@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sedimenta.llm import encoding, exact_dedup, language_id, mixing, simhash
-from sedimenta.llm.common import free_name, new_folder, table
+from sedimenta.llm.common import drop_folder, free_name, new_folder, table
 from sedimenta.llm.queries import model_path
 
 
@@ -49,10 +49,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in turn over documents; what each returns is written to the shared folder and read again."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages in turn over documents; what each returns is written to the shared folder and read again, and removed when the next stage is written."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for k, (_, stage) in enumerate(STAGES):
         path = new_folder(spark, f"pipeline-{k}")
         stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        if before:
+            drop_folder(spark, before)
+        docs, before = spark.read.parquet(path), path
     return docs

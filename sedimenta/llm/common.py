@@ -35,6 +35,12 @@ def new_folder(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+def drop_folder(spark: SparkSession, path: str) -> None:
+    """Removes a folder of new_folder() and what it holds, through the file system that Spark wrote it with; one that is gone is no error."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` written to the shared checkpoint folder and read from there: later jobs don't recompute it, and survive lost executors."""
     shared_dir(df.sparkSession)

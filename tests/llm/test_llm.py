@@ -1,6 +1,7 @@
 """Training-data operators against brute force, and on odd rows: nulls, empty and very long texts, ties, repeats, empty tables, clashing columns."""
 
 import hashlib
+import os
 import random
 import re
 from collections import Counter, defaultdict
@@ -801,7 +802,7 @@ def test_pipeline(spark, sf):
     assert {r["doc_id"] for r in rows(corpus_pipeline.run(spark, sf))} == ids
 
 
-def test_pipeline_equals_plain_python(spark, sf, library):
+def test_pipeline_equals_plain_python(spark, sf, library, monkeypatch):
     """The five decisions one after the other, copies included.  Language models are the repository's, learned here from all rows they may learn from."""
     import math
     import zlib
@@ -830,7 +831,11 @@ def test_pipeline_equals_plain_python(spark, sf, library):
         copies = next(k for k in range(1000) if sum(math.exp(-rate) * rate**i / math.factorial(i) for i in range(k + 1)) >= u)
         if copies:
             want[(r["doc_id"], tuple(library.encode(r["text"])))] += copies
+    folders = []
+    monkeypatch.setattr(corpus_pipeline, "new_folder", lambda s, label: folders.append(common.new_folder(s, label)) or folders[-1])
     got = rows(corpus_pipeline.run(spark, sf))
+    kept = [os.path.isdir(f.removeprefix("file:")) for f in folders]
+    assert kept == [False] * 4 + [True]  # finished stages are removed once the next is written
     assert Counter((r["doc_id"], tuple(r["ids"])) for r in got) == want and max(want.values()) > 1
     assert all(r["round_trip"] for r in got)
 
