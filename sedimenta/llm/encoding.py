@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import pieces
+from .common import give_back, pieces
 from .piece_fst import PieceTransducer, fitting
 
 
@@ -18,17 +18,25 @@ def transducer(path: str) -> PieceTransducer:
     return PieceTransducer(path)
 
 
-def _arrow(df: DataFrame, per_block, schema: T.StructType) -> DataFrame:
+def _arrow(df: DataFrame, per_block, schema: T.StructType, model_path: str) -> DataFrame:
     import pyarrow as pa
     from pyspark.sql.pandas.types import to_arrow_schema
 
     out = to_arrow_schema(schema)
 
-    def run(batches):
+    def blocks(batches):
         for batch in batches:
             for rows in pieces(zip(*(c.to_pylist() for c in batch.columns), strict=True), lambda r: r[-1]):
                 yield pa.RecordBatch.from_arrays([a.cast(f.type) if a.type != f.type else a for a, f in zip(per_block(rows), out, strict=True)], schema=out)
 
+    def run(batches):
+        try:
+            yield from blocks(batches)
+        finally:  # the worker stays for other stages
+            if transducer.cache_info().currsize:
+                transducer(model_path).forget()
+            give_back()
+
     return df.mapInArrow(run, schema)
 
 
@@ -53,7 +61,7 @@ def encode_pieces(docs: DataFrame, model_path: str, id_col: str = "doc_id", text
         ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(packed), "i4")))
         return [pa.array([r[0] for r in rows]), pa.array(np.diff(ends), pa.int64()), ids, pa.array(same)]
 
-    return _arrow(docs.select(F.col(id_col), F.col(text_col)), block, schema)
+    return _arrow(docs.select(F.col(id_col), F.col(text_col)), block, schema, model_path)
 
 
 def decode_pieces(encoded: DataFrame, model_path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -101,7 +109,7 @@ def token_counts(docs: DataFrame, model_path: str, budget: int = 4096, id_col: s
             out.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(kept))))
         return out
 
-    return _arrow(docs.select(F.col(id_col), F.col(text_col)), block, schema)
+    return _arrow(docs.select(F.col(id_col), F.col(text_col)), block, schema, model_path)
 
 
 def cut_at(counted: DataFrame, budget: int, id_col: str = "doc_id") -> DataFrame:

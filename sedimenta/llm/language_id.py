@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import narrow, pieces
+from .common import give_back, narrow, pieces
 
 WORD = re.compile(r"[^\W\d_]+")
 TOKEN = re.compile(r"[^\W_]+")
@@ -177,6 +177,10 @@ class LanguageModels:
         self.known, self.table, self.used = {}, None, 0
         self.most = max(1000, min(WORDS, CELLS // (len(self.languages) + 1)))
 
+    def forget(self):
+        """Drops the remembered words."""
+        self.known, self.table, self.used = {}, None, 0
+
     def __getstate__(self):
         return self.__dict__ | {"known": {}, "table": None, "used": 0}
 
@@ -329,13 +333,20 @@ def identify(docs: DataFrame, models: LanguageModels, text_col: str = "text", ad
     schema = T.StructType([*docs.schema.fields, T.StructField(add[0], T.StringType()), T.StructField(add[1], T.DoubleType()), T.StructField(add[2], T.DoubleType()), T.StructField(add[3], T.BooleanType())])
     shared, at = docs.sparkSession.sparkContext.broadcast(models), docs.columns.index(text_col)
 
-    def run(batches):
+    def rows(m, batches):
         import pyarrow as pa
 
-        m = shared.value
         for batch in batches:
-            got = [x for rows in pieces([(t,) for t in batch.column(at).to_pylist()], lambda r: r[0], m.block()) for x in m.predict([r[0] or "" for r in rows])]
+            got = [x for part in pieces([(t,) for t in batch.column(at).to_pylist()], lambda r: r[0], m.block()) for x in m.predict([r[0] or "" for r in part])]
             cols = [pa.array([g[k] for g in got], kind) for k, kind in enumerate((pa.string(), pa.float64(), pa.float64(), pa.bool_()))]
             yield pa.RecordBatch.from_arrays([*batch.columns, *cols], names=[*batch.schema.names, *add])
 
+    def run(batches):
+        m = shared.value
+        try:
+            yield from rows(m, batches)
+        finally:  # the worker stays for other stages
+            m.forget()
+            give_back()
+
     return docs.mapInArrow(run, schema)

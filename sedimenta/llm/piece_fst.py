@@ -47,9 +47,9 @@ ANY = _Any()
 
 
 class PieceTransducer:
-    """Compiled from the file of a piece model.  ``cache`` bounds the number of remembered stretches and words (of each, twice as many at most) and of remembered pairs (twice as many)."""
+    """Compiled from the file of a piece model.  ``cache`` bounds the number of remembered stretches and words (of each, twice as many at most) and of remembered pairs (eight times as many)."""
 
-    def __init__(self, path: str, cache: int = 400_000):
+    def __init__(self, path: str, cache: int = 100_000):
         from sentencepiece import sentencepiece_model_pb2 as pb
 
         proto = pb.ModelProto()
@@ -70,8 +70,8 @@ class PieceTransducer:
         self.fallback = len(self.bytes_at) == 256
         self.spelled = [p.piece.replace(SPACE, " ").encode() if p.type == NORMAL else bytes([int(p.piece[3:5], 16)]) if p.type == BYTE else " ⁇ ".encode() if p.type == UNKNOWN else b"" for p in proto.pieces]
         self.least = min(self.scores.values(), default=0.0) - 10.0
-        self.cache, self.young, self.old, self.words, self.old_words, self.pairs, self.n_pairs = cache, {}, {}, {}, {}, defaultdict(dict), 0
-        self.steps, self.old_steps = [{}, {}], [{}, {}]
+        self.cache, self.pairs, self.n_pairs = cache, defaultdict(dict), 0
+        self.forget()
         self.sizes = [len(p.piece) for p in proto.pieces]
         self.labels = _Labels({i: p for p, i in self.ids.items()})
         self.whole = {p for p in self.ids if not self.bpe or self._merged(p) == [p]}
@@ -91,6 +91,11 @@ class PieceTransducer:
         else:
             self.stretch = re.compile(r" +[^ ]*|[^ ]+")
 
+    def forget(self) -> None:
+        """Drops the remembered stretches and words; pairs stay."""
+        self.young, self.old, self.words, self.old_words = {}, {}, {}, {}
+        self.steps, self.old_steps = [{}, {}], [{}, {}]
+
     def _merged(self, text: str) -> list[str]:
         """The merge process itself, for pairs of pieces: the best adjacent pair goes first, the leftmost of equals."""
         parts, scores = list(text), self.scores
@@ -107,7 +112,7 @@ class PieceTransducer:
 
     def _stable(self, a: int, b: int) -> bool:
         """Whether label a before label b is the encoding of both."""
-        if self.n_pairs >= 2 * self.cache:
+        if self.n_pairs >= 8 * self.cache:
             self.pairs, self.n_pairs = defaultdict(dict), 0
         x, y = self.labels[a], self.labels[b]
         known = self.pairs[a][b] = x + y not in self.whole and self._merged(x + y) == [x, y]

@@ -863,3 +863,24 @@ def test_queries_are_registered():
     names = set(entry.queries())
     assert {m[0] for n in names if (m := re.match(r"op\d+(?=_)", n))} == {f"op{i}" for i in range(1, 11)} and "pipeline" in names
     assert set(queries.oracle_sql()) <= names
+
+
+def test_ended_tasks_remember_no_words(spark, sf, monkeypatch):
+    """Workers outlive a stage, and what they remember counts in the stages after it."""
+    import pyarrow as pa
+
+    docs = documents(spark, sf).select("doc_id", "text", "lang").limit(200)
+    batch, tasks, used = pa.RecordBatch.from_pandas(docs.toPandas()), [], []
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, run, schema: tasks.append((run, self.columns)))
+    totals = language_id.LanguageModels.totals
+    monkeypatch.setattr(language_id.LanguageModels, "totals", lambda self, texts: used.append(self) or totals(self, texts))
+    m = encoding.transducer(queries.model_path())
+    language_id.identify(docs, language_id.LanguageModels({"en": ["some words of a language"], "de": ["einige andere Wörter"]}))
+    encoding.encode_pieces(docs, queries.model_path())
+    encoding.token_counts(docs, queries.model_path())
+    held = [lambda: [len(used[-1].known), used[-1].used], *[lambda: [len(x) for x in (m.young, m.old, m.words, m.old_words, *m.steps, *m.old_steps)]] * 2]
+    for (run, columns), holds in zip(tasks, held, strict=True):
+        out = run(iter([batch.select(columns)]))
+        next(out)
+        assert any(holds())
+        assert not list(out) and not any(holds())
