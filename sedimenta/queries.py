@@ -347,8 +347,8 @@ def download_links(spark, sf):
 
 @query("SELECT c_custkey AS id, c_mktsegment AS host, NULL::VARCHAR AS path, c_acctbal::BIGINT != 0 AS secure FROM customer")
 def optional_columns(spark, sf):
-    """The first of several column names that a table has; none gives null."""
-    c = table(spark, sf, "customer").withColumn("c_acctbal", F.round("c_acctbal"))
+    """The first of several column names that a table has; none gives null.  Amounts become whole numbers as SQL's cast makes them, halves to the even one."""
+    c = table(spark, sf, "customer").withColumn("c_acctbal", F.rint("c_acctbal"))
     return c.select(N.pick(c, "id", "C_CUSTKEY", kind="bigint").alias("id"), N.pick(c, "host_key", "c_mktsegment").alias("host"), N.pick(c, "path").alias("path"), (N.pick(c, "is_secure", "c_acctbal", kind="bigint") != 0).alias("secure"))
 
 

@@ -466,6 +466,19 @@ def test_query(spark, sf, duck, name):
         assert got
 
 
+def test_optional_columns_rounds_halves_as_its_sql(spark, tmp_path):
+    import duckdb
+
+    amounts = {0.5: False, -0.5: False, 0.51: True, -0.51: True, 0.49: False, -0.49: False, 1.5: True, -1.5: True, 0.49999999999999994: False, 0.5000000000000001: True, 0.0: False, None: None}
+    rows = [(k, f"c{k}", 1, x, "BUILDING") for k, x in enumerate(amounts)]
+    spark.createDataFrame(rows, "c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string").write.parquet(f"{tmp_path}/customer.parquet")
+    want = [(k, "BUILDING", None, secure) for k, secure in enumerate(amounts.values())]
+    assert sorted(tuple(r) for r in queries.optional_columns(spark, str(tmp_path)).collect()) == want
+    con = duckdb.connect()
+    con.execute(f"create view customer as select * from read_parquet('{tmp_path}/customer.parquet/*.parquet')")
+    assert sorted(con.sql(queries.SQL["optional_columns"]).fetchall()) == want
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 
